@@ -83,7 +83,7 @@ def sort(strings: Sequence[bytes], start: int = 0, shallow: int = SHALLOW) -> tu
     """
     order: list[int] = []
     shared: list[int] = []
-    stack: list[tuple[list[int], int, int]] = [(list(range(len(strings))), start, 0)]
+    stack: list[tuple[list[int], int, int]] = [(list(range(len(strings))), start, 0)] if strings else []
     while stack:
         group, depth, before = stack.pop()
         if len(group) == 1:
@@ -104,15 +104,12 @@ def sort(strings: Sequence[bytes], start: int = 0, shallow: int = SHALLOW) -> tu
         if more:
             stack.append((more, depth, depth))
         if same:
+            first = depth if less else before
             if pivot < 0:  # ended: equal strings
-                stack.append(([same[0]], depth, depth if less else before))
-                if len(same) > 1:
-                    order_at = stack.pop()
-                    ended = [(([i]), depth, depth) for i in reversed(same[1:])]
-                    stack.extend(ended)
-                    stack.append(order_at)
+                stack.extend(([i], depth, depth) for i in reversed(same[1:]))
+                stack.append((same[:1], depth, first))
             else:
-                stack.append((same, depth + 1, depth if less else before))
+                stack.append((same, depth + 1, first))
         if less:
             stack.append((less, depth, before))
     return order, shared

@@ -141,6 +141,7 @@ RUN = "key long, start long, stop long"
 
 def _contexts(source: DataFrame, gone, dups, groups: int, length: int) -> DataFrame:
     """h, block, key, d, tie, start, before, strings, context, for the anchors in dups (hashes and their numbers)."""
+    block_rows = BLOCK_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skipped = gone.value
@@ -161,8 +162,8 @@ def _contexts(source: DataFrame, gone, dups, groups: int, length: int) -> DataFr
                 if not len(h):
                     continue
                 n = times[np.searchsorted(hashes, h)] if hashes is not None else np.ones(len(h), np.int64)
-                hot = n > BLOCK_ROWS
-                blocks = np.where(hot, 1 + ((h ^ keys[r]).view(np.uint64) * np.uint64(_M) >> np.uint64(33)).astype(np.int64) % np.maximum(1, -(-n // BLOCK_ROWS)), 0)
+                hot = n > block_rows
+                blocks = np.where(hot, 1 + ((h ^ keys[r]).view(np.uint64) * np.uint64(_M) >> np.uint64(33)).astype(np.int64) % np.maximum(1, -(-n // block_rows)), 0)
                 out[0].extend(h.tolist())
                 out[1].extend(np.where(hot, h, h % groups).tolist())
                 out[2].extend(blocks.tolist())
@@ -191,6 +192,10 @@ def _judged(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("h", "d", "tie", "start")])
+        same = np.ones(max(0, table.num_rows - 1), np.bool_)
+        for c in ("h", "key", "start"):  # of rows that are one document
+            same &= np.diff(table[c].to_numpy()) == 0
+        table = table.filter(pa.array(np.append(np.ones(min(1, table.num_rows), np.bool_), ~same)))
         h, block, key, d, tie, start, before, strings = (table[c].to_numpy() for c in ("h", "block", "key", "d", "tie", "start", "before", "strings"))
         data = table["context"].to_pylist()
         out: list[list] = [[] for _ in FOUND]
