@@ -12,6 +12,7 @@ table gives an empty result; columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from .common import Memo, as_bytes, batch_of, kept, materialize
 LENGTH, END_ID = 4096, 2
 # How the tokenizer of this vocabulary splits a word, for words of the letters below U+0250.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+LATIN = "\u0250"
 PLAIN = r"[!-~\u00a1-\u00ac\u00ae-\u024f]+"
 
 
@@ -49,21 +51,44 @@ class WordIds(Memo):
     does (plain is set); all other words go through the whole tokenizer.
     """
 
+    room = 600_000
+
     def __init__(self, tokenizer, plain: bool):
         import regex
 
-        self.tokenizer, self.model, self.plain = tokenizer, tokenizer.model, plain
-        self.letters = str.maketrans(byte_letters())
+        self.tokenizer, self.plain, self.parts = tokenizer, plain, PartIds(tokenizer.model)
         self.matches, self.split = regex.compile(PLAIN).fullmatch, regex.compile(SPLIT).findall
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.plain and self.matches(text):
-            tokenize, letters = self.model.tokenize, self.letters
-            ids = [t.id for part in self.split(text.lower()) for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(letters))]
+        text, part = word.decode("utf-8", "replace"), self.parts.__getitem__
+        if not self.plain:
+            ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        elif text.isalpha() and max(text) < LATIN:
+            ids = part(text.lower())
+        elif text[-1] in ".," and (stem := text[:-1]).isalpha() and max(stem) < LATIN:
+            ids = part(stem.lower()) + part(text[-1])
+        elif self.matches(text):
+            ids = b"".join(map(part, self.split(text.lower())))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.put(word, np.array(ids, "<u4").tobytes())
+            ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.put(word, ids)
+
+
+class PartIds(Memo):
+    """Ids of what the splitting rule leaves: words with another ending share their stem."""
+
+    room = 200_000
+
+    def __init__(self, model):
+        self.model, self.letters = model, str.maketrans(byte_letters())
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return self.put(part, packed([t.id for t in self.model.tokenize(letters)]))
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def splits_plainly(definition: str) -> bool:
