@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batch_of, materialize, shared_path
 
 #: Ranges with at most GAP bytes between become one read of at most READ bytes; SPAN bytes of a file go to one task.
-GAP, READ, SPAN = 64 << 10, 8 << 20, 64 << 20
+GAP, READ, SPAN = 64 << 10, 4 << 20, 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1
 INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())])
@@ -134,7 +134,9 @@ def reads(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> li
 
 def read(index: DataFrame, folder: str) -> DataFrame:
     """The records that index selects, whatever rows were filtered out of it: RECORD_DDL. A record whose digest is wrong ends the job."""
-    spans = index.groupBy("file", F.floor(F.col("offset") / SPAN).alias("span")).agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
+    selected = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN).alias("span"))
+    tasks = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // SPAN))  # by the bytes to read, not by the size of the index
+    spans = selected.repartition(tasks, "file", "span").groupBy("file", "span").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, _ = _filesystem(folder)
