@@ -37,6 +37,8 @@ SIZE, PERCENT = 3, 90
 BLOCK_TOKENS, LEAST = 150_000, 150
 #: Keys (8 bytes each) that are broadcast to pick the sets to compare; with more, the texts are joined.
 BROADCAST_KEYS = 4_000_000
+#: Rows of two longs that a join broadcasts; with more, it shuffles.
+BROADCAST_ROWS = 1_000_000
 HUBS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S29, _S32, _S40 = np.uint64(29), np.uint64(32), np.uint64(40)
@@ -312,16 +314,23 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
     return components(edges.union(crossed), "large-final")
 
 
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def similar_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, row, row_key: a row for each row of docs."""
     listed = _listed(docs, size, percent)
     # Nulls are taken for the largest id.
     largest = F.lit(2**63 - 1)
     classes = materialize(listed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep"), F.min(F.coalesce("doc_id", largest)).alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")), "classes")
-    one = classes.select("rep")
-    parts = listed.join(one, F.col("row") == F.col("rep"), "left_semi").select("row", F.explode("signatures").alias("s"))
+    # The rows that only repeat a class, and the parts that several share, are small beside all parts: broadcast if so, joined else.
+    repeated = classes.where("copies > 1").select(F.col("set_key").alias("__set"), "rep")
+    spare = materialize(listed.select("row", "set_key").join(repeated, F.col("set_key") == F.col("__set")).where("row != rep").select(F.col("row").alias("__row")), "spare")
+    parts = listed.join(_small(spare), F.col("row") == F.col("__row"), "left_anti").select("row", F.explode("signatures").alias("s"))
     shared = materialize(parts.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("m")).where("m > 1"), "shared-parts")
-    several = shared.where("m > 2").select(F.col("s").alias("__s"), "first")
+    several = _small(shared.where("m > 2").select(F.col("s").alias("__s"), "first"))
     near = shared.where("m = 2").select(F.col("first").alias("v"), F.col("last").alias("u")).union(parts.join(several, F.col("s") == F.col("__s")).select(F.col("first").alias("v"), F.col("row").alias("u")))
     around = components(near, "neighbours")
     places = around.select(F.col("v").alias("row"), F.col("root").alias("place")).union(around.select(F.col("root").alias("row"), F.col("root").alias("place")).distinct())
