@@ -74,7 +74,7 @@ def apply_copies(docs: DataFrame, decided: DataFrame) -> DataFrame:
 class Memo(dict):
     """What a Python worker remembers of words, at most room of them. The first ones, often the frequent ones, stay longest."""
 
-    room = 400_000
+    room = 250_000
 
     def put(self, key, value):
         if len(self) >= self.room:

@@ -51,7 +51,7 @@ class WordIds(Memo):
     does (plain is set); all other words go through the whole tokenizer.
     """
 
-    room = 600_000
+    room = 500_000
 
     def __init__(self, tokenizer, plain: bool):
         import regex

@@ -272,13 +272,28 @@ def union_of(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def merged(runs: DataFrame) -> DataFrame:
+    """key, runs, with the runs of a document that overlap or touch made one."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for listed in batch.column(1):
+                pairs = listed.values
+                out.append([{"start": a, "stop": b} for a, b in union_of(pairs.field(0).to_numpy(), pairs.field(1).to_numpy())])
+            yield pa.record_batch([batch.column(0), pa.array(out, span)], names=["key", "runs"])
+
+    return runs.mapInArrow(run, "key long, runs array<struct<start: long, stop: long>>")
+
+
 def deduplicate(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """doc_id, data (the bytes that stay), n_bytes, n_removed, spans (runs removed): a row for each row of docs."""
     sc = docs.sparkSession.sparkContext
     copies = whole_copies(docs, length)
     few_copies = copies.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     skipped = _array(copies) if few_copies else np.zeros(0, np.int64)
-    runs = materialize(repeated_runs(docs, skipped, length=length).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "runs")
+    runs = materialize(merged(repeated_runs(docs, skipped, length=length).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))), "runs")
     size = runs.agg(F.count("*") + F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     gone, table = sc.broadcast(skipped), None
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), as_bytes().alias("data"))
