@@ -52,23 +52,34 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: Rows (two longs and a count) that apply_copies broadcasts; with more, it shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
 def apply_copies(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """docs with each row repeated as often as decided says.
 
     decided holds doc_id, row_key and copies, a row for each row of docs. Rows of docs equal in doc_id and text
     take the copies of their rows of decided in falling order. Null ids match null ids.
     """
-    names = docs.columns
-    plan = (
-        decided.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k"), F.col("copies").cast("int").alias("__c"))
-        .groupBy("__d", "__k")
-        .agg(F.sort_array(F.collect_list("__c"), asc=False).alias("__cs"))
-        .where("__cs[0] > 0")
-    )
-    keyed = docs.withColumn("__key", row_key()).withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key")))
-    joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["__d"]) & (keyed["__key"] == plan["__k"]))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keys = decided.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k"), F.col("copies").cast("int").alias("__c"))
+    listed = materialize(keys.groupBy("__d", "__k").agg(F.sort_array(F.collect_list("__c"), asc=False).alias("__cs")), "copies")
+    keyed = docs.withColumn("__key", row_key())
+    same = lambda left, right: left["doc_id"].eqNullSafe(right["__d"]) & (left["__key"] == right["__k"])
+    odd = listed.where("size(__cs) > 1")
+    few = odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # Rows that are alone with their id and text, nearly all: those not taken once are told, whatever is left stays.
+    alone = listed.where("size(__cs) > 1 or __cs[0] != 1").select("__d", "__k", F.when(F.size("__cs") == 1, F.col("__cs")[0]).otherwise(0).alias("__n"))
+    alone = F.broadcast(alone) if alone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else alone
+    single = keyed.join(alone, same(keyed, alone), "left").withColumn("__n", F.coalesce("__n", F.lit(1))).where("__n > 0")
+    single = single.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*names)
+    if odd.isEmpty():
+        return single
+    odd = F.broadcast(odd) if few else odd
+    several = keyed.join(odd, same(keyed, odd)).withColumn("__rn", F.row_number().over(Window.partitionBy("__d", "__key").orderBy("__key")))
     copies = F.coalesce(F.get(F.col("__cs"), F.col("__rn") - 1), F.lit(0))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in names])
+    return single.unionByName(several.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*names))
 
 
 class Memo(dict):
