@@ -59,7 +59,7 @@ BROADCAST_ROWS = 1_000_000
 def apply_copies(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """docs with each row repeated as often as decided says.
 
-    decided holds doc_id, row_key and copies, a row for each row of docs. Rows of docs equal in doc_id and text
+    decided holds doc_id, row_key and copies, a row for each row of docs, 0 for those that go. Rows of docs equal in doc_id and text
     take the copies of their rows of decided in falling order. Null ids match null ids.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]

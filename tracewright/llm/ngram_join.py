@@ -2,7 +2,7 @@
 
 1. Documents with equal sets are one class; only the classes go on.
 2. Similar classes are brought together: the tokens of a set are dealt into k + 1 parts by a hash, where sets of that size
-   which link differ in at most k tokens, so two linked sets agree in a whole part. Classes that share a part, in chains,
+   which link differ in at most k tokens, so two linked sets agree in a whole part (and some parts are spare, for those without tokens). Classes that share a part, in chains,
    are a neighbourhood; every link lies within one.
 3. In a neighbourhood, sets are split into groups of one smallest token. Rows of the token-group matrix hold each
    group's union of tokens; they bound the overlap of a query with any member, and only groups whose bound reaches the
@@ -20,6 +20,7 @@ an empty table gives an empty result; columns besides doc_id and text are not re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ BROADCAST_KEYS = 4_000_000
 BROADCAST_ROWS = 1_000_000
 HUBS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_SEEDS = (np.uint64(0), _A, _B)
 _S29, _S32, _S40 = np.uint64(29), np.uint64(32), np.uint64(40)
 
 
@@ -72,7 +74,7 @@ class Levels:
     """Bands of set sizes in which sets that link are in one band or the next, and the number of parts of each."""
 
     def __init__(self, percent: int = PERCENT):
-        self.percent, self.edges = percent, [1]
+        self.percent, self.edges, self.counts = percent, [1], {}
 
     def band(self, n: int) -> int:
         e = self.edges
@@ -80,24 +82,38 @@ class Levels:
             e.append(max(e[-1] + 1, e[-1] * 100 // self.percent + 1))
         return int(np.searchsorted(e, n, "right")) - 1
 
-    def parts(self, band: int) -> int:
-        while len(self.edges) < band + 2:
-            self.band(self.edges[-1])
-        most = self.edges[band + 1] - 1
-        return 2 * most * (100 - self.percent) // (100 + self.percent) + 1
+    def parts(self, band: int) -> tuple[int, int]:
+        """Parts and spare parts of a band: sets that link agree in at least one part more than there are spare ones."""
+        if band not in self.counts:
+            while len(self.edges) < band + 2:
+                self.band(self.edges[-1])
+            most, least = self.edges[band + 1] - 1, self.edges[max(0, band - 1)]
+            differ = 2 * most * (100 - self.percent) // (100 + self.percent)
+            spare = 0
+            for _ in range(4 if differ else 0):  # few sets have more empty parts than that
+                m = differ + 1 + spare
+                empty = m * math.exp(-least / m)
+                spare = math.ceil(empty + 4 * math.sqrt(empty))
+            self.counts[band] = (differ + 1 + spare, spare)
+        return self.counts[band]
 
 
 def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
-    """A hash for each part of the set, at its own band and the next."""
+    """A hash for each part of the set that has tokens, at its own band and the next.
+
+    If two sets have so many parts without tokens that only those may agree, both are dealt once more, by another hash.
+    """
     out, band = [], levels.band(len(tokens))
     for level in (band, band + 1):
-        m = levels.parts(level)
+        m, spare = levels.parts(level)
         if m > 1:  # else only equal sets link
-            sums, empty = _parts(tokens, m, _salt(level, 0))
-            out.append(sums[~empty])
-            for p in np.flatnonzero(empty).tolist():  # sets without tokens in part p agree there; they are told apart by other parts
-                more, none = _parts(tokens, m, _salt(level, p + 1), _A)
-                out.append(more)
+            for turn in range(3):
+                sums, empty = _parts(tokens, m, _salt(level, turn), _SEEDS[turn])
+                out.append(sums[~empty])
+                if empty.sum() <= spare:
+                    break
+            else:
+                out.append(np.array([_salt(level, 3)]))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -105,7 +121,7 @@ def _salt(level: int, part: int) -> np.uint64:
     return np.uint64((level * 0x9E3779B97F4A7C15 + part * 0xC2B2AE3D27D4EB4F + 1) % 2**64)
 
 
-def _parts(tokens: np.ndarray, m: int, salt: np.uint64, seed: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
+def _parts(tokens: np.ndarray, m: int, salt: np.uint64, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         x = _mixed(tokens ^ seed) if seed else tokens
         part = ((x >> _S40) % np.uint64(m)).astype(np.int64)
@@ -357,5 +373,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     found = similar_components(docs, **options)
     empty = F.col("n_shingles") == 0
     apart = Window.partitionBy(F.coalesce("component_id", "row_key"), empty).orderBy("row")
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("nth", F.row_number().over(apart))
-    return apply_copies(docs, chosen.select("doc_id", "row_key", (empty | (F.col("nth") == 1)).cast("int").alias("copies")))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    chosen = found.where(first).withColumn("nth", F.row_number().over(apart))
+    decided = chosen.select("doc_id", "row_key", (empty | (F.col("nth") == 1)).cast("int").alias("copies"))
+    return apply_copies(docs, decided.union(found.where(~first).select("doc_id", "row_key", F.lit(0))))
