@@ -306,7 +306,7 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
     while True:
         tokens = active.groupBy("place").agg(F.sum("n").alias("all"), F.count("*").alias("m"))
         widest, count = tokens.agg(F.max("all"), F.sum("m")).first()
-        dealt = active.drop("block").join(tokens.select("place", "all"), "place").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("all") / BLOCK_TOKENS)))
+        dealt = active.drop("block").join(_small(tokens.select("place", "all")), "place").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("all") / BLOCK_TOKENS)))
         found = materialize(_joined_blocks(dealt.select("row", "place", "block", "tokens"), percent), "block-links")
         new = found.select("u", "v")
         edges = new if edges is None else edges.union(new)
@@ -314,18 +314,22 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
             break
         before = count
         hubs = found.where("hub").select(F.col("u").alias("row"))
-        active = sets.join(hubs, "row", "left_semi")
+        active = sets.join(_small(hubs), "row", "left_semi")
     rooted = components(edges, "large-stars")
-    labelled = materialize(sets.join(rooted, F.col("row") == F.col("v"), "left").withColumn("label", F.coalesce("root", "row")).drop("v", "root"), "labelled")
-    per = labelled.groupBy("place", "label").agg(F.count("*").alias("m"))
+    # Labels without the sets; few sets are outside the largest component of their place.
+    labels = sets.select("row", "place", "n").join(rooted, F.col("row") == F.col("v"), "left").withColumn("label", F.coalesce("root", "row")).drop("v", "root")
+    labels = materialize(labels, "labels")
+    per = labels.groupBy("place", "label").agg(F.count("*").alias("m"))
     largest = per.groupBy("place").agg(F.max(F.struct("m", "label")).alias("x")).select("place", F.col("x.label").alias("main"))
-    whole = labelled.groupBy("place").agg(F.sum("n").alias("all"))
-    rest = labelled.join(largest, "place").where("label != main").drop("main").join(whole, "place")
-    asked = rest.groupBy("place").agg(F.sum("n").alias("asked"))
+    whole = labels.groupBy("place").agg(F.sum("n").alias("all"))
+    told = materialize(labels.join(largest, "place").join(whole, "place").withColumn("out", F.col("label") != F.col("main")).select("row", "label", "all", "out"), "told")
+    labelled = sets.join(_small(told), "row")
+    rest = labelled.where("out")
+    asked = labels.join(told.where("out").select("row"), "row").groupBy("place").agg(F.sum("n").alias("asked"))
     blocks, cut = F.ceil(F.col("all") / BLOCK_TOKENS), F.ceil(F.col("asked") / BLOCK_TOKENS)
     columns = ["row", "place", "tokens", "label", "query", "block", "chunk"]
-    queries = rest.join(asked, "place").withColumn("query", F.lit(True)).withColumn("chunk", F.pmod(F.xxhash64("row"), cut)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    members = labelled.join(whole, "place").join(asked, "place").withColumn("query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("row"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
+    queries = rest.join(_small(asked), "place").withColumn("query", F.lit(True)).withColumn("chunk", F.pmod(F.xxhash64("row"), cut)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    members = labelled.join(_small(asked), "place").withColumn("query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("row"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
     crossed = materialize(_meetings(queries.select(columns).union(members.select(columns)), percent).distinct(), "crossed")
     return components(edges.union(crossed), "large-final")
 
@@ -351,10 +355,9 @@ def similar_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
     around = components(near, "neighbours")
     places = around.select(F.col("v").alias("row"), F.col("root").alias("place")).union(around.select(F.col("root").alias("row"), F.col("root").alias("place")).distinct())
     members = materialize(places.join(listed.select("row", "key", F.greatest("n_shingles", F.lit(LEAST)).alias("n")), "row"), "members")
-    sets = members.join(_token_sets(docs, members, size), "key").select("row", "place", "n", "tokens")
     weight = members.groupBy("place").agg(F.sum("n").alias("all"))
-    is_large = F.col("all") > BLOCK_TOKENS
-    sets = materialize(sets.join(weight.select("place", is_large.alias("large")), "place"), "sets")
+    weighed = materialize(members.join(weight, "place").withColumn("large", F.col("all") > BLOCK_TOKENS).drop("all"), "weighed")
+    sets = materialize(_token_sets(docs, members, size).join(_small(weighed), "key").select("row", "place", "n", "tokens", "large"), "sets")
     found = materialize(_joined_blocks(sets.where("not large").select("row", "place", F.lit(0).alias("block"), "tokens"), percent).select(F.col("u").alias("v"), F.col("v").alias("root")), "links")
     large = sets.where("large").drop("large")
     if not large.isEmpty():
