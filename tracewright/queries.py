@@ -1,0 +1,368 @@
+"""The surveyed operators as queries over the driver's tables, with the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import graph, intervals, spatial
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# The graph: regions are groups, nations nets, customers and suppliers components, orders wires, parts endpoints.
+
+NODES_SQL = """
+    SELECT 'g' || r_regionkey AS id, 'group' AS kind FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'net' FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'component' FROM customer
+    UNION ALL SELECT 's' || s_suppkey, 'component' FROM supplier
+    UNION ALL SELECT 'w' || o_orderkey, 'wire' FROM orders
+    UNION ALL SELECT 'e' || p_partkey, 'endpoint' FROM part
+"""
+RAW_EDGES_SQL = """
+    SELECT 'gn' || n_nationkey AS id, 'contains' AS kind, 'g' || n_regionkey AS source_id, 'n' || n_nationkey AS target_id FROM nation
+    UNION ALL SELECT 'nc' || c_custkey, 'contains', 'n' || c_nationkey, 'c' || c_custkey FROM customer
+    UNION ALL SELECT 'ns' || s_suppkey, 'contains', 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+    UNION ALL SELECT 'cw' || o_orderkey, 'connection', 'c' || o_custkey, 'w' || o_orderkey FROM orders
+    UNION ALL SELECT 'we' || l_orderkey || '-' || l_linenumber, 'connection', 'w' || l_orderkey, 'e' || l_partkey FROM lineitem
+    UNION ALL SELECT 'es' || l_orderkey || '-' || l_linenumber, 'connection', 'e' || l_partkey, 's' || l_suppkey FROM lineitem
+"""
+GRAPH_SQL = f"nodes AS ({NODES_SQL}), edges AS (SELECT * FROM ({RAW_EDGES_SQL}) x WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes))"
+START, HOPS, SKIP, OMIT = "c1", 2, ("wire",), ("net", "group")
+TRACE_SQL = f"""{GRAPH_SQL},
+    near AS (SELECT DISTINCT a, b, nb.kind AS k FROM (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges) x
+             JOIN nodes na ON na.id = a JOIN nodes nb ON nb.id = b WHERE na.kind NOT IN ('net', 'group') AND nb.kind NOT IN ('net', 'group')),
+    walk AS (SELECT '{START}' AS id, 0 AS hop UNION SELECT b, hop + CASE WHEN k = 'wire' THEN 0 ELSE 1 END FROM walk JOIN near ON a = walk.id WHERE hop + CASE WHEN k = 'wire' THEN 0 ELSE 1 END <= {HOPS}),
+    seen AS (SELECT id, min(hop) AS hop FROM walk GROUP BY id)"""
+
+
+def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = (("region", "g", "r_regionkey", "group"), ("nation", "n", "n_nationkey", "net"), ("customer", "c", "c_custkey", "component"), ("supplier", "s", "s_suppkey", "component"), ("orders", "w", "o_orderkey", "wire"), ("part", "e", "p_partkey", "endpoint"))
+    out = None
+    for table, prefix, key, kind in parts:
+        own = read(spark, sf_dir, table).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("kind"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda prefix, *keys: F.concat(F.lit(prefix), F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
+    specs = (
+        ("nation", "gn", ["n_nationkey"], "contains", ("g", "n_regionkey"), ("n", "n_nationkey")),
+        ("customer", "nc", ["c_custkey"], "contains", ("n", "c_nationkey"), ("c", "c_custkey")),
+        ("supplier", "ns", ["s_suppkey"], "contains", ("n", "s_nationkey"), ("s", "s_suppkey")),
+        ("orders", "cw", ["o_orderkey"], "connection", ("c", "o_custkey"), ("w", "o_orderkey")),
+        ("lineitem", "we", ["l_orderkey", "l_linenumber"], "connection", ("w", "l_orderkey"), ("e", "l_partkey")),
+        ("lineitem", "es", ["l_orderkey", "l_linenumber"], "connection", ("e", "l_partkey"), ("s", "l_suppkey")),
+    )
+    out = None
+    for table, prefix, keys, kind, source, target in specs:
+        own = read(spark, sf_dir, table).select(name(prefix, *keys).alias("id"), F.lit(kind).alias("kind"), name(*source).alias("source_id"), name(*target).alias("target_id"))
+        out = own if out is None else out.unionByName(own)
+    return graph.valid_edges(out, nodes_of(spark, sf_dir)).select("id", "kind", "source_id", "target_id")
+
+
+def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.trace(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), START, HOPS, skip=SKIP, omit=OMIT)
+
+
+@register(NODES_SQL)
+def graph_nodes(spark, sf_dir):
+    return nodes_of(spark, sf_dir)
+
+
+@register(f"WITH {GRAPH_SQL} SELECT id, kind, source_id, target_id FROM edges")
+def graph_edges(spark, sf_dir):
+    return edges_of(spark, sf_dir)
+
+
+@register(f"WITH RECURSIVE {TRACE_SQL} SELECT seen.id, nodes.kind, seen.hop FROM seen JOIN nodes USING (id)")
+def trace_any(spark, sf_dir):
+    return traced(spark, sf_dir)
+
+
+@register(f"WITH RECURSIVE {TRACE_SQL} SELECT kind, source_id, target_id, min(edges.id) AS id, max(greatest(p.hop, q.hop)) AS hop FROM edges JOIN seen p ON p.id = source_id JOIN seen q ON q.id = target_id GROUP BY ALL")
+def induced_edges_collapse(spark, sf_dir):
+    return graph.induced_edges(edges_of(spark, sf_dir), traced(spark, sf_dir))
+
+
+@register(f"""WITH RECURSIVE {TRACE_SQL},
+    ends AS (SELECT DISTINCT a, b FROM (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN nodes ON id = a WHERE kind = 'endpoint')
+    SELECT a AS id, count(seen.id) AS n_sources, count(*) - count(seen.id) AS n_candidates FROM ends LEFT JOIN seen ON b = seen.id GROUP BY a HAVING count(seen.id) > 0 AND count(*) > count(seen.id)""")
+def trace_open_endpoints(spark, sf_dir):
+    return graph.open_ends(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), traced(spark, sf_dir), "endpoint")
+
+
+@register("""WITH RECURSIVE e AS (SELECT DISTINCT 'u' || user_id AS a, 't' || event_type || date_part('day', ts) || '-' || date_part('hour', ts) AS b FROM events),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS id, a AS r FROM s UNION SELECT s.b, w.r FROM w JOIN s ON s.a = w.id WHERE w.r < s.b)
+    SELECT id, min(r) AS root FROM w GROUP BY id""")
+def connected_components(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    bucket = F.concat(F.lit("t"), F.col("event_type"), F.dayofmonth("ts").cast("string"), F.lit("-"), F.hour("ts").cast("string"))
+    return graph.components(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), bucket.alias("target_id")))
+
+
+@register("SELECT region_group AS page, kind, count(*) AS n FROM (SELECT 'nation' AS kind, n_regionkey AS region_group FROM nation UNION ALL SELECT 'customer', n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'supplier', n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) x GROUP BY ALL")
+def page_item_counts(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("page"))
+    own = n.select(F.lit("nation").alias("kind"), "page")
+    for table, key in (("customer", "c_nationkey"), ("supplier", "s_nationkey")):
+        own = own.unionByName(read(spark, sf_dir, table).join(n, F.col(key) == F.col("n_nationkey")).select(F.lit(table).alias("kind"), "page"))
+    return own.groupBy("page", "kind").agg(F.count("*").alias("n"))
+
+
+# Boxes of parts on a page of 1000 by 1000 points.
+
+BOX_SQL = "SELECT p_partkey AS id, p_brand AS page, CAST(p_partkey * 37 % 1000 AS DOUBLE) AS x0, CAST(p_partkey * 61 % 997 AS DOUBLE) AS y0, CAST(p_partkey * 37 % 1000 + p_size AS DOUBLE) AS x1, CAST(p_partkey * 61 % 997 + p_size % 7 + 2 AS DOUBLE) AS y1 FROM part"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    x, y = (F.col("p_partkey") * 37) % 1000, (F.col("p_partkey") * 61) % 997
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("page"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.col("p_size")).cast("double").alias("x1"), (y + F.col("p_size") % 7 + 2).cast("double").alias("y1"))
+
+
+PAIR_SQL = f"WITH b AS ({BOX_SQL}), m AS (SELECT a.id AS a_id, c.id AS b_id, greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) AS o, greatest(a.x0 - c.x1, c.x0 - a.x1, 0) AS gx, greatest(a.y0 - c.y1, c.y0 - a.y1, 0) AS gy, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (c.x1 - c.x0) * (c.y1 - c.y0) AS ba FROM b a, b c WHERE a.id <> c.id)"
+
+
+@register(f"{PAIR_SQL} SELECT a_id, b_id, o AS overlap, round(o / (aa + ba - o), 6) AS iou FROM m WHERE o > 0 AND a_id < b_id")
+def iou_join(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return spatial.iou_join(b, b).where("a_id < b_id").select("a_id", "b_id", "overlap", F.round("iou", 6).alias("iou"))
+
+
+@register(f"{PAIR_SQL} SELECT a_id, b_id FROM m WHERE gx * gx + gy * gy <= 25 AND a_id < b_id")
+def dwithin_join(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return spatial.meet(b, b, within=5.0).where("a_id < b_id").select("a_id", "b_id")
+
+
+@register(f"{PAIR_SQL}, r AS (SELECT a_id, b_id, gx * gx + gy * gy AS d2, row_number() OVER (PARTITION BY a_id ORDER BY gx * gx + gy * gy, b_id) AS rank, min(gx * gx + gy * gy) OVER (PARTITION BY a_id) AS least FROM m WHERE gx * gx + gy * gy <= 900) SELECT a_id, b_id, rank FROM r WHERE rank <= 5 AND d2 <= least * 1.2 * 1.2")
+def nearest_k_band(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return spatial.nearest_band(b, b, within=30.0, k=5, ratio=1.2)
+
+
+@register(f"{PAIR_SQL} SELECT a_id AS id, arg_min(b_id, ba * 1000000 + b_id) AS parent FROM m WHERE o >= 0.6 * aa AND ba > aa GROUP BY a_id")
+def coverage_parent(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return spatial.smallest_cover(b, b, 0.6)
+
+
+@register(f"SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ({BOX_SQL}) b GROUP BY page")
+def bbox_union(spark, sf_dir):
+    return boxes(spark, sf_dir).groupBy("page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+@register(f"SELECT id FROM ({BOX_SQL}) b WHERE x0 >= 100 AND y0 >= 100 AND x1 <= 600 AND y1 <= 600")
+def bbox_contains_filter(spark, sf_dir):
+    return boxes(spark, sf_dir).where("x0 >= 100 AND y0 >= 100 AND x1 <= 600 AND y1 <= 600").select("id")
+
+
+@register(f"SELECT cx, cy, min(id) AS id, count(*) AS n FROM (SELECT id, CAST(floor(x0 / 8) AS BIGINT) AS cx, CAST(floor(y0 / 8) AS BIGINT) AS cy FROM ({BOX_SQL}) b) q GROUP BY cx, cy")
+def quantized_distinct(spark, sf_dir):
+    return boxes(spark, sf_dir).groupBy(F.floor(F.col("x0") / 8).alias("cx"), F.floor(F.col("y0") / 8).alias("cy")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
+@register(f"SELECT page, arg_min(id, (-((x1 - x0) * (y1 - y0))) * 1000000 + id) AS id FROM ({BOX_SQL}) b GROUP BY page")
+def largest_box(spark, sf_dir):
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return boxes(spark, sf_dir).groupBy("page").agg(F.min(F.struct((-size).alias("s"), "id")).alias("x")).select("page", F.col("x.id").alias("id"))
+
+
+@register(f"SELECT id, x0 AS px0, 1000 - y1 AS py0, x1 AS px1, 1000 - y0 AS py1 FROM ({BOX_SQL}) b")
+def coordinate_flip(spark, sf_dir):
+    return boxes(spark, sf_dir).select("id", F.col("x0").alias("px0"), (1000 - F.col("y1")).alias("py0"), F.col("x1").alias("px1"), (1000 - F.col("y0")).alias("py1"))
+
+
+@register()
+def nms_greedy(spark, sf_dir):
+    return spatial.suppress(boxes(spark, sf_dir).withColumn("weight", F.col("x1") - F.col("x0")), "page", "weight", 0.5)
+
+
+@register()
+def coordinate_clusters(spark, sf_dir):
+    return intervals.running_mean_clusters(boxes(spark, sf_dir).select("page", "y0"), "page", "y0", 0.8)
+
+
+@register("""WITH i AS (SELECT o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS a, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 30 + o_orderkey % 60 AS b FROM orders),
+    f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM f),
+    r AS (SELECT o_custkey, island, min(a) AS a, max(b) AS b FROM g GROUP BY ALL)
+    SELECT o_custkey, count(*) AS pieces, CAST(sum(b - a) AS BIGINT) AS covered FROM r GROUP BY o_custkey""")
+def interval_union_coverage(spark, sf_dir):
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    i = read(spark, sf_dir, "orders").select("o_custkey", day.cast("long").alias("a"), (day + 30 + F.col("o_orderkey") % 60).cast("long").alias("b"))
+    return intervals.union_length(i, "o_custkey", "a", "b")
+
+
+# Jobs: events by user; clicks and views run, purchases and signups end well, errors end badly.
+
+STATUS_SQL = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' WHEN 'signup' THEN 'succeeded' WHEN 'click' THEN 'running' ELSE 'queued' END"
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, kind = read(spark, sf_dir, "events"), F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind.isin("purchase", "signup"), "succeeded").when(kind == "click", "running").otherwise("queued")
+    return e.withColumn("status", status)
+
+
+@register(f"SELECT user_id, event_id, {STATUS_SQL} AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) x WHERE n = 1")
+def latest_job(spark, sf_dir):
+    last = jobs(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("x"))
+    return last.select("user_id", F.col("x.event_id").alias("event_id"), F.col("x.status").alias("status"))
+
+
+@register(f"SELECT user_id, CASE WHEN bool_and(s IN ('failed', 'succeeded')) THEN 'completed' WHEN bool_or(s = 'running') THEN 'running' ELSE 'queued' END AS batch, bool_or(s = 'succeeded') AS any_succeeded FROM (SELECT user_id, {STATUS_SQL} AS s FROM events) x GROUP BY user_id")
+def batch_status(spark, sf_dir):
+    s = F.col("status")
+    out = jobs(spark, sf_dir).groupBy("user_id").agg(F.bool_and(s.isin("failed", "succeeded")).alias("over"), F.bool_or(s == "running").alias("busy"), F.bool_or(s == "succeeded").alias("any_succeeded"))
+    return out.select("user_id", F.when(F.col("over"), "completed").when(F.col("busy"), "running").otherwise("queued").alias("batch"), "any_succeeded")
+
+
+@register("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def recent_topk(spark, sf_dir):
+    return read(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "user_id")
+
+
+@register(f"SELECT event_id, user_id FROM events WHERE {STATUS_SQL} = 'queued' ORDER BY ts, event_id LIMIT 1")
+def queue_head(spark, sf_dir):
+    return jobs(spark, sf_dir).where("status = 'queued'").orderBy("ts", "event_id").limit(1).select("event_id", "user_id")
+
+
+@register("SELECT event_id, max(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM events")
+def progress_highwater(spark, sf_dir):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return read(spark, sf_dir, "events").select("event_id", F.max(F.floor("value").cast("long")).over(order).alias("progress"))
+
+
+@register("SELECT user_id, props, min(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id, props")
+def idempotent_dedupe(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id", "props").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
+
+
+@register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def event_json_fields(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@register("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS local_id FROM events")
+def dense_ids(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("local_id"))
+
+
+@register("SELECT user_id, event_id, coalesce(value - lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id), 0) AS margin FROM events")
+def runner_up_margin(spark, sf_dir):
+    order = Window.partitionBy("user_id").orderBy("value", "event_id")
+    return read(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(F.col("value") - F.lag("value").over(order), F.lit(0.0)).alias("margin"))
+
+
+@register("SELECT user_id, string_agg(event_type, ' ' ORDER BY first) AS titles FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) x GROUP BY user_id")
+def ordered_unique_concat(spark, sf_dir):
+    first = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    return first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first", "event_type"))).alias("x")).select("user_id", F.array_join(F.transform("x", lambda s: s["event_type"]), " ").alias("titles"))
+
+
+# Text.
+
+
+@register(r"""SELECT page_id, CASE WHEN regexp_matches(t, 'SYMBOL OVERVIEW') THEN 'symbol_overview' WHEN regexp_matches(t, 'PLC') THEN 'plc_io' WHEN regexp_matches(t, 'MULTI') THEN 'multi' WHEN regexp_matches(t, 'SINGLE') THEN 'single' ELSE 'other' END AS page_type
+    FROM (SELECT page_id, regexp_replace(upper(html), '[^A-Z0-9]+', ' ', 'g') AS t FROM pages) x""")
+def page_type(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.page_type(F.col("html")).alias("page_type"))
+
+
+ROLE_SQL = r"CASE WHEN regexp_matches(s, '^[0-9]*-[A-Z]+[0-9]+$') THEN 'device_tag' WHEN regexp_matches(s, '^/?[0-9]+\.[A-Z0-9]+$') THEN 'cross_reference' WHEN regexp_matches(s, '^[0-9.]+ ?(V|A|W|HZ|MM2|KW)$') THEN 'parameter' WHEN regexp_matches(s, '^[A-Z]?[0-9]{1,3}$') THEN 'pin_label' ELSE 'description' END"
+
+
+@register(f"SELECT p_partkey, {ROLE_SQL} AS role FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || '-K' || p_partkey WHEN 1 THEN '/' || p_size || '.A' || p_size WHEN 2 THEN p_size || ' MM2' WHEN 3 THEN 'X' || p_size ELSE p_name END AS s FROM part) x")
+def semantic_role(spark, sf_dir):
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    turn = F.col("p_partkey") % 5
+    label = F.when(turn == 0, F.concat(size, F.lit("-K"), k)).when(turn == 1, F.concat(F.lit("/"), size, F.lit(".A"), size)).when(turn == 2, F.concat(size, F.lit(" MM2"))).when(turn == 3, F.concat(F.lit("X"), size)).otherwise(F.col("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.semantic_role(label).alias("role"))
+
+
+@register("SELECT o_orderkey, upper(regexp_extract(s, '^([0-9]+)\\.([a-z0-9]+)$', 2)) AS zone, regexp_extract(s, '^([0-9]+)\\.([a-z0-9]+)$', 1) AS label FROM (SELECT o_orderkey, o_custkey || '.' || lower(substr(o_orderpriority, 3)) AS s FROM orders) x".replace("\\\\", "\\"))
+def xref_parse(spark, sf_dir):
+    s = F.concat(F.col("o_custkey").cast("string"), F.lit("."), F.lower(F.substring("o_orderpriority", 3, 99)))
+    pattern = r"^([0-9]+)\.([a-z0-9]+)$"
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.upper(F.regexp_extract(s, pattern, 2)).alias("zone"), F.regexp_extract(s, pattern, 1).alias("label"))
+
+
+@register("SELECT p_partkey, token FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) x WHERE length(token) > 0")
+def marker_tokens(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("token")).where("length(token) > 0")
+
+
+@register("SELECT doc_id, sha256(coalesce(text, '')) AS fingerprint, substr(sha256(coalesce(text, '')), 1, 24) AS short FROM documents")
+def content_fingerprint(spark, sf_dir):
+    h = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return read(spark, sf_dir, "documents").select("doc_id", h.alias("fingerprint"), F.substring(h, 1, 24).alias("short"))
+
+
+@register("SELECT d.doc_id, l.quality, l.doc_id IS NOT NULL AS hit FROM documents d LEFT JOIN labels l USING (doc_id)")
+def cache_lookup(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("found"))
+    return read(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", "quality", F.coalesce("found", F.lit(False)).alias("hit"))
+
+
+@register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def cache_misses(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@register("SELECT l_orderkey, l_linenumber, id, 'wire' AS kind, l_linenumber AS local_id FROM (SELECT l_orderkey, l_linenumber, 'plant/a/p' || l_orderkey || '/wire/' || l_linenumber AS id FROM lineitem) x")
+def global_id_roundtrip(spark, sf_dir):
+    made = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.global_id(F.lit("plant/a"), F.col("l_orderkey"), F.lit("wire"), F.col("l_linenumber")).alias("id"))
+    return made.withColumn("kind", T.id_part(F.col("id"), 2)).withColumn("local_id", T.id_part(F.col("id"), 1).cast("int"))
+
+
+@register("SELECT o_orderkey, 10 + CAST(floor(80 * (o_orderkey % 50) / 50.0) AS BIGINT) AS progress FROM orders")
+def progress_message(spark, sf_dir):
+    text = F.concat(F.lit("page "), (F.col("o_orderkey") % 50 + 1).cast("string"), F.lit("/50"))
+    page, pages = (F.regexp_extract(text, r"page ([0-9]+)/([0-9]+)", i).cast("long") for i in (1, 2))
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.progress(page, pages).alias("progress"))
+
+
+@register("SELECT c_custkey, regexp_replace(c_name || ' / ' || c_mktsegment, '[^A-Za-z0-9_-]', '_', 'g') AS slug FROM customer")
+def slug(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", T.slug(F.concat("c_name", F.lit(" / "), "c_mktsegment")).alias("slug"))
+
+
+@register("SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F'")
+def shared_values(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")
+    return l.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).intersect(l.where("l_linestatus = 'F'").select("l_partkey"))
+
+
+@register("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def unowned_values(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey").exceptAll(read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_partkey").distinct())
+
+
+@register("SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem UNION ALL SELECT l_suppkey, l_partkey FROM lineitem) x GROUP BY ALL")
+def symmetric_pairs(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    both = l.union(l.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
