@@ -2,7 +2,8 @@
 
 1. Documents with equal sets are one class; only the classes go on.
 2. Similar classes are brought together: the tokens of a set are dealt into k + 1 parts by a hash, where sets of that size
-   which link differ in at most k tokens, so two linked sets agree in a whole part (and some parts are spare, for those without tokens). Classes that share a part, in chains,
+   which link differ in at most k tokens, so two linked sets agree in a whole part (and some parts are spare, for those without tokens). Tokens
+   found in many documents are left out first, so a shared passage does not make neighbours. Classes that share a part, in chains,
    are a neighbourhood; every link lies within one.
 3. In a neighbourhood, sets are split into groups of one smallest token. Rows of the token-group matrix hold each
    group's union of tokens; they bound the overlap of a query with any member, and only groups whose bound reaches the
@@ -41,6 +42,8 @@ BROADCAST_KEYS = 4_000_000
 #: Rows of two longs that a join broadcasts; with more, it shuffles.
 BROADCAST_ROWS = 1_000_000
 HUBS = 4
+#: Documents of a batch that make a token common.
+OFTEN = 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SEEDS = (np.uint64(0), _A, _B)
 _S29, _S32, _S40 = np.uint64(29), np.uint64(32), np.uint64(40)
@@ -98,17 +101,19 @@ class Levels:
         return self.counts[band]
 
 
-def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
+def signatures(tokens: np.ndarray, levels: Levels, common: np.ndarray) -> np.ndarray:
     """A hash for each part of the set that has tokens, at its own band and the next.
 
-    If two sets have so many parts without tokens that only those may agree, both are dealt once more, by another hash.
+    Tokens in common (sorted) are left out of both sets, which does not make them differ more. If two sets then have so many
+    parts without tokens that only those may agree, both are dealt once more, as a whole, by other hashes.
     """
     out, band = [], levels.band(len(tokens))
+    rare = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens] if len(common) else tokens
     for level in (band, band + 1):
         m, spare = levels.parts(level)
         if m > 1:  # else only equal sets link
             for turn in range(3):
-                sums, empty = _parts(tokens, m, _salt(level, turn), _SEEDS[turn])
+                sums, empty = _parts(tokens if turn else rare, m, _salt(level, turn), _SEEDS[turn])
                 out.append(sums[~empty])
                 if empty.sum() <= spare:
                     break
@@ -220,7 +225,24 @@ def _sets_of(table: pa.Table) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _common_tokens(docs: DataFrame, size: int) -> DataFrame:
+    """token: those that OFTEN documents or more of some batch have, over all of docs. Any set of tokens keeps the join exact; these would make strangers of one neighbourhood."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = kept("hashes", WordHashes)
+        for batch in batches:
+            sets = [token_set(data.as_py(), memo, size) for data in batch.column(0)]
+            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
+            yield pa.record_batch([pa.array(found[n >= OFTEN].view(np.int64))], names=["token"])
+
+    return materialize(docs.select(as_bytes().alias("data")).mapInArrow(run, "token long").distinct(), "common-tokens")
+
+
 def _listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    tokens_ = _common_tokens(docs, size)
+    few = tokens_.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    found = np.sort(tokens_.toArrow().column(0).to_numpy().view(np.uint64)) if few else np.zeros(0, np.uint64)
+    common = docs.sparkSession.sparkContext.broadcast(found)
     schema = pa.schema([("row", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signatures", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +255,7 @@ def _listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 counts.append(len(tokens))
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 if len(tokens):
-                    parts.append(signatures(tokens, levels))
+                    parts.append(signatures(tokens, levels, common.value))
                 at.append(at[-1] + (len(parts[-1]) if len(tokens) else 0))
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
