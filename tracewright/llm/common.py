@@ -28,7 +28,14 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Rows in an Arrow batch at most, so that batches of long texts stay small in the JVM and in Python.
+BATCH_ROWS = 2000
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
     return f"{shared_root(spark)}/tracewright/{tag}-{uuid.uuid4().hex}"
 
 

@@ -42,8 +42,8 @@ BROADCAST_KEYS = 4_000_000
 #: Rows of two longs that a join broadcasts; with more, it shuffles.
 BROADCAST_ROWS = 1_000_000
 HUBS = 4
-#: Documents of a batch that make a token common.
-OFTEN = 8
+#: Documents that make a token common, among those of a task with so many tokens.
+OFTEN, AT_ONCE = 8, 4_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SEEDS = (np.uint64(0), _A, _B)
 _S29, _S32, _S40 = np.uint64(29), np.uint64(32), np.uint64(40)
@@ -226,14 +226,22 @@ def _sets_of(table: pa.Table) -> list[np.ndarray]:
 
 
 def _common_tokens(docs: DataFrame, size: int) -> DataFrame:
-    """token: those that OFTEN documents or more of some batch have, over all of docs. Any set of tokens keeps the join exact; these would make strangers of one neighbourhood."""
+    """token: those that OFTEN documents or more of some task have, over all of docs. Any set of tokens keeps the join exact; these would make strangers of one neighbourhood."""
+
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
+        return pa.record_batch([pa.array(found[n >= OFTEN].view(np.int64))], names=["token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = kept("hashes", WordHashes)
+        memo, sets, held = kept("hashes", WordHashes), [], 0
         for batch in batches:
-            sets = [token_set(data.as_py(), memo, size) for data in batch.column(0)]
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
-            yield pa.record_batch([pa.array(found[n >= OFTEN].view(np.int64))], names=["token"])
+            for data in batch.column(0):
+                sets.append(token_set(data.as_py(), memo, size))
+                held += len(sets[-1])
+            if held > AT_ONCE:
+                yield often(sets)
+                sets, held = [], 0
+        yield often(sets)
 
     return materialize(docs.select(as_bytes().alias("data")).mapInArrow(run, "token long").distinct(), "common-tokens")
 
