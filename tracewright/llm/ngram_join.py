@@ -50,6 +50,8 @@ _S29, _S32, _S40 = np.uint64(29), np.uint64(32), np.uint64(40)
 
 
 class WordHashes(Memo):
+    room = 100_000
+
     def __missing__(self, word: bytes) -> int:
         return self.put(word, xxhash.xxh3_64_intdigest(word))
 
