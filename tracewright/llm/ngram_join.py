@@ -170,7 +170,7 @@ def compare(sets: list[np.ndarray], percent: int = PERCENT, queries: np.ndarray
     np.maximum.at(high, group, sizes)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    step = 4096
+    step = 2048
 
     def chunks() -> Iterator[np.ndarray]:
         for at in range(0, width, step):
@@ -231,8 +231,11 @@ def _common_tokens(docs: DataFrame, size: int) -> DataFrame:
     """token: those that OFTEN documents or more of some task have, over all of docs. Any set of tokens keeps the join exact; these would make strangers of one neighbourhood."""
 
     def often(sets: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
-        return pa.record_batch([pa.array(found[n >= OFTEN].view(np.int64))], names=["token"])
+        found = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        sets.clear()
+        found.sort()
+        run = found[OFTEN - 1 :][found[OFTEN - 1 :] == found[: max(0, len(found) - OFTEN + 1)]]  # a token of OFTEN sets ends a run of that length
+        return pa.record_batch([pa.array(np.unique(run).view(np.int64))], names=["token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sets, held = kept("hashes", WordHashes), [], 0
@@ -242,7 +245,7 @@ def _common_tokens(docs: DataFrame, size: int) -> DataFrame:
                 held += len(sets[-1])
             if held > AT_ONCE:
                 yield often(sets)
-                sets, held = [], 0
+                held = 0
         yield often(sets)
 
     return materialize(docs.select(as_bytes().alias("data")).mapInArrow(run, "token long").distinct(), "common-tokens")
