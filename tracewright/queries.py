@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import graph, intervals, spatial
+from .operators import graph, intervals, pages, spatial
+from .streaming import jobs as lives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -366,3 +367,56 @@ def symmetric_pairs(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     both = l.union(l.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+
+
+# Pages of orders: wires are orders, parts are components on each page, every tenth part is an arrow.
+
+STREAM_PAGES, STREAM_STEPS = 97, 4
+STREAM_SQL = f"""e AS (SELECT DISTINCT l_orderkey % {STREAM_PAGES} AS page, 'w' || l_orderkey AS a, 'p' || l_orderkey % {STREAM_PAGES} || '/' || l_partkey AS b, l_partkey AS part FROM lineitem),
+    io AS (SELECT DISTINCT b AS id, page, CASE WHEN part % 20 = 0 THEN 'input' ELSE 'output' END AS page_io FROM e WHERE part % 10 = 0),
+    near AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    walk AS (SELECT id AS source, id, 0 AS d FROM io UNION SELECT source, b, d + 1 FROM walk JOIN near ON a = walk.id WHERE d < {STREAM_STEPS} AND (walk.id = source OR walk.id NOT IN (SELECT id FROM io))),
+    reached AS (SELECT source, id, min(d) AS distance FROM walk GROUP BY source, id)"""
+
+
+def stream_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    page = F.col("l_orderkey") % STREAM_PAGES
+    e = read(spark, sf_dir, "lineitem").select(page.alias("page"), F.concat(F.lit("w"), F.col("l_orderkey")).alias("source_id"), F.concat(F.lit("p"), page, F.lit("/"), F.col("l_partkey")).alias("target_id"), "l_partkey").distinct()
+    io = F.when(F.col("l_partkey") % 20 == 0, "input").when(F.col("l_partkey") % 10 == 0, "output")
+    wires = e.select(F.col("source_id").alias("id"), "page", F.lit("wire").alias("kind"), F.lit(None).cast("string").alias("page_io")).distinct()
+    return wires.union(e.select(F.col("target_id").alias("id"), "page", F.lit("component").alias("kind"), io.alias("page_io")).distinct()), e.select("source_id", "target_id")
+
+
+@register(f"WITH RECURSIVE {STREAM_SQL} SELECT source, id, distance FROM reached")
+def page_arrow_distances(spark, sf_dir):
+    return pages.arrow_distances(*stream_graph(spark, sf_dir), STREAM_STEPS)
+
+
+@register(f"""WITH RECURSIVE {STREAM_SQL} SELECT s.id AS source, t.id AS target, r.distance FROM io s JOIN io t ON s.page = t.page AND s.page_io = 'input' AND t.page_io = 'output'
+    LEFT JOIN reached r ON r.source = s.id AND r.id = t.id""")
+def page_stream(spark, sf_dir):
+    return pages.page_stream(*stream_graph(spark, sf_dir), STREAM_STEPS)
+
+
+@register("""SELECT 'w' || l_orderkey AS id, 'p' || l_partkey AS partner, min(l_linenumber) AS edge_id FROM lineitem WHERE l_orderkey % 10 = 0 AND l_partkey % 3 != 0 GROUP BY l_orderkey, l_partkey""")
+def cross_page_step(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")
+    wire, part = F.concat(F.lit("w"), F.col("l_orderkey")), F.concat(F.lit("p"), F.col("l_partkey"))
+    links = l.select(F.col("l_linenumber").alias("id"), wire.alias("source_id"), part.alias("target_id"))
+    return pages.cross_page(links, l.where("l_orderkey % 10 = 0").select(wire.alias("id")).distinct(), l.where("l_partkey % 3 = 0").select(part.alias("id")).distinct())
+
+
+MOVES_SQL = ", ".join(f"('{c}', '{s}', '{t}')" for (c, s), t in lives.MOVES.items())
+COMMANDS = ("submit", "claim", "progress", "pause", "paused", "resume", "claim", "progress", "cancel", "fail", "succeed", "stop", "delete")
+
+
+@register(f"""WITH RECURSIVE moves(c, s, t) AS (VALUES {MOVES_SQL}),
+    e AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, [{', '.join(f"'{c}'" for c in COMMANDS)}][CAST(event_id * 5 % {len(COMMANDS)} + 1 AS INT)] AS c, event_id % 100 AS v FROM events),
+    w AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, 'none' AS status, CAST(0 AS BIGINT) AS progress FROM e
+          UNION ALL SELECT w.job_id, e.n, coalesce(m.t, w.status), CASE WHEN m.t IS NULL THEN w.progress WHEN e.c IN ('submit', 'stop') THEN 0 WHEN e.c = 'succeed' THEN 100 WHEN e.c = 'progress' THEN greatest(w.progress, e.v) ELSE w.progress END
+          FROM w JOIN e ON e.job_id = w.job_id AND e.n = w.n + 1 LEFT JOIN moves m ON m.c = e.c AND m.s = w.status)
+    SELECT job_id, arg_max(status, n) AS status, arg_max(progress, n) AS progress FROM w GROUP BY job_id""")
+def job_states(spark, sf_dir):
+    words = F.array(*[F.lit(c) for c in COMMANDS])
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.element_at(words, (F.col("event_id") * 5 % len(COMMANDS) + 1).cast("int")).alias("command"), (F.col("event_id") % 100).alias("value"))
+    return lives.job_states(e)
