@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apply_copies, as_bytes, batch_of, materialize, row_key
+from .common import apply_copies, as_bytes, batch_of, lean, materialize, row_key
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Mean chunk of 2 to the BITS bytes; bounds of a chunk in bytes.
@@ -91,7 +91,7 @@ def recipes(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataF
             yield pa.record_batch([*batch.columns[:3], *new.columns], names=["doc_id", "row_key", "n_chars", *schema.names])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), as_bytes().alias("data"))
-    return source.mapInArrow(run, "doc_id long, row_key long, n_chars long, row long, text_sha256 string, recipe array<binary>, recipe_key long")
+    return source.mapInArrow(lean(run), "doc_id long, row_key long, n_chars long, row long, text_sha256 string, recipe array<binary>, recipe_key long")
 
 
 def _candidate_chunks(docs: DataFrame, keys: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
@@ -121,7 +121,7 @@ def _candidate_chunks(docs: DataFrame, keys: DataFrame, digest: Callable[[bytes]
             yield batch_of(schema, out)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), as_bytes().alias("data"))
-    made = source.mapInArrow(run, "doc_id long, row_key long, recipe_key long, place long, chunk_id binary, chunk binary")
+    made = source.mapInArrow(lean(run), "doc_id long, row_key long, recipe_key long, place long, chunk_id binary, chunk binary")
     return made if few else made.join(keys, "recipe_key", "left_semi")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize
+from .common import batch_of, lean, materialize
 
 #: Paths that a host keeps, and hosts whose table is broadcast; with more hosts it is joined by a shuffle.
 PATHS, BROADCAST_HOSTS = 3, 100_000
@@ -217,7 +217,7 @@ def votes(pages: DataFrame) -> DataFrame:
             yield batch_of(schema, rows)
 
     source = pages.select(_host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return source.mapInArrow(run, "host string, path string, score double").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("score").alias("score"))
+    return source.mapInArrow(lean(run), "host string, path string, score double").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("score").alias("score"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -234,4 +234,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [Page(source.as_py()).text(paths) for source, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    return joined.mapInArrow(lean(run), "page_id long, url string, text string")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, apply_copies, as_bytes, batch_of, kept, materialize, row_key
+from .common import Memo, apply_copies, as_bytes, batch_of, kept, lean, materialize, row_key
 from .components import components
 
 SIZE, PERCENT = 3, 90
@@ -248,7 +248,7 @@ def _common_tokens(docs: DataFrame, size: int) -> DataFrame:
                 held = 0
         yield often(sets)
 
-    return materialize(docs.select(as_bytes().alias("data")).mapInArrow(run, "token long").distinct(), "common-tokens")
+    return materialize(docs.select(as_bytes().alias("data")).mapInArrow(lean(run), "token long").distinct(), "common-tokens")
 
 
 def _listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.record_batch([*batch.columns[:3], *new.columns], names=["doc_id", "key", "row_key", *schema.names])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), row_key().alias("row_key"), as_bytes().alias("data"))
-    return materialize(source.mapInArrow(run, "doc_id long, key long, row_key long, row long, n_shingles long, set_key binary, signatures array<long>"), "listed")
+    return materialize(source.mapInArrow(lean(run), "doc_id long, key long, row_key long, row long, n_shingles long, set_key binary, signatures array<long>"), "listed")
 
 
 def _token_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -298,7 +298,7 @@ def _token_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(keys[pick]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["key", "tokens"])
 
-    return source.mapInArrow(run, "key long, tokens array<long>")
+    return source.mapInArrow(lean(run), "key long, tokens array<long>")
 
 
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("place", pa.int64()), ("hub", pa.bool_())])

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, batch_of, kept, materialize
+from .common import Memo, as_bytes, batch_of, kept, lean, materialize
 
 LENGTH, END_ID = 4096, 2
 # How the tokenizer of this vocabulary splits a word, for words of the letters below U+0250.
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id
                     out, held = [[] for _ in schema], 0
             yield batch_of(schema, out)
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(run, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, task long, place long")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(lean(run), "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, task long, place long")
     return materialize(made, "pieces")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import as_bytes, lean, materialize
 from .deep_shallow import sort
 
 LENGTH, GRAM = 100, 24
@@ -180,7 +180,7 @@ def _contexts(source: DataFrame, gone, dups, groups: int, length: int) -> DataFr
                     out, held = [[] for _ in names], 0
             yield pa.record_batch([pa.array(c, pa.binary() if k == 9 else pa.int64()) for k, c in enumerate(out)], names=names)
 
-    return source.mapInArrow(run, "h long, grp long, block long, key long, d long, tie long, start long, before long, strings long, context binary")
+    return source.mapInArrow(lean(run), "h long, grp long, block long, key long, d long, tie long, start long, before long, strings long, context binary")
 
 
 FOUND = [("key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("tie", pa.int64()), ("digest", pa.binary())]
@@ -284,7 +284,7 @@ def merged(runs: DataFrame) -> DataFrame:
                 out.append([{"start": a, "stop": b} for a, b in union_of(pairs.field(0).to_numpy(), pairs.field(1).to_numpy())])
             yield pa.record_batch([batch.column(0), pa.array(out, span)], names=["key", "runs"])
 
-    return runs.mapInArrow(run, "key long, runs array<struct<start: long, stop: long>>")
+    return runs.mapInArrow(lean(run), "key long, runs array<struct<start: long, stop: long>>")
 
 
 def deduplicate(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
@@ -333,4 +333,4 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.record_batch([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], span)], names=["doc_id", "data", "n_bytes", "n_removed", "spans"])
 
-    return source.mapInArrow(run, "doc_id long, data binary, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>")
+    return source.mapInArrow(lean(run), "doc_id long, data binary, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>")

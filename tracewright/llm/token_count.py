@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, kept
+from .common import Memo, batch_of, kept, lean
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -94,4 +94,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), *new.columns], names=["doc_id", *schema.names])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return source.mapInArrow(lean(run), "doc_id long, n_tokens long, score double")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, materialize, shared_path
+from .common import as_bytes, batch_of, lean, materialize, shared_path
 
 #: Ranges with at most GAP bytes between become one read of at most READ bytes; SPAN bytes of a file go to one task.
 GAP, READ, SPAN = 64 << 10, 4 << 20, 16 << 20
@@ -117,7 +117,7 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0, id_column: str
         if out is not None:
             out.close()
 
-    return materialize(typed.mapInArrow(run, INDEX_DDL), "warc-index")
+    return materialize(typed.mapInArrow(lean(run), INDEX_DDL), "warc-index")
 
 
 def reads(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -159,7 +159,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                                 column.append(value)
                         yield batch_of(RECORD, rows)
 
-    return spans.select("file", "ranges").mapInArrow(run, RECORD_DDL)
+    return spans.select("file", "ranges").mapInArrow(lean(run), RECORD_DDL)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, *, least_bytes: int = 0) -> DataFrame:
