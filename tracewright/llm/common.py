@@ -113,14 +113,19 @@ def kept(name: object, make: Callable[[], Memo]) -> Memo:
     return _KEPT[1]
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow, whose worker gives free memory back to the system at the end of a task; idle workers outlive their stage."""
+    """run for mapInArrow, whose worker gives free memory back at the end of a task; idle workers outlive their stage."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return task

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, apply_copies, as_bytes, batch_of, kept, lean, materialize, row_key
+from .common import Memo, apply_copies, as_bytes, batch_of, give_back, kept, lean, materialize, row_key
 from .components import components
 
 SIZE, PERCENT = 3, 90
@@ -42,6 +42,8 @@ BROADCAST_KEYS = 4_000_000
 #: Rows of two longs that a join broadcasts; with more, it shuffles.
 BROADCAST_ROWS = 1_000_000
 HUBS = 4
+#: Blocks of more bytes than that make their worker give memory back.
+LARGE_BYTES = 400_000
 #: Documents that make a token common, among those of a task with so many tokens.
 OFTEN, AT_ONCE = 8, 4_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -319,6 +321,8 @@ def _joined_blocks(sets: DataFrame, percent: int) -> DataFrame:
         hub[order[nth < HUBS]] = True
         least = np.full(len(rows), np.iinfo(np.int64).max)
         np.minimum.at(least, root, rows)
+        if table.nbytes > LARGE_BYTES:
+            give_back()
         return pa.table([rows, least[root], table["place"].to_numpy(), hub], schema=EDGE)
 
     return sets.groupBy("place", "block").applyInArrow(run, "u long, v long, place long, hub boolean")
@@ -330,6 +334,8 @@ def _meetings(sets: DataFrame, percent: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows, label = table["row"].to_numpy(), table["label"].to_numpy()
         i, j = compare(_sets_of(table), percent, table["query"].to_numpy(zero_copy_only=False), label)
+        if table.nbytes > LARGE_BYTES:
+            give_back()
         return pa.table([label[i], label[j]], names=["u", "v"])
 
     return sets.groupBy("place", "block", "chunk").applyInArrow(run, "u long, v long")
