@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict, deque
 
+from tracewright import queries
 from tracewright.operators import pages
 from tracewright.streaming import jobs
 
@@ -22,6 +24,46 @@ def test_arrows_end_a_way_and_groups_are_not_entered(spark):
     assert stream == {("in0", "out3"): 6, ("in0", "out4"): None, ("in7", "out3"): None, ("in7", "out4"): None}
 
 
+def plain_distances(nodes, edges):
+    """A search from every arrow until its queue is empty, over (id, page, kind, page_io) and (source_id, target_id)."""
+    page, arrows = {n: p for n, p, kind, _ in nodes if kind != "group"}, {n for n, _, kind, io in nodes if io is not None and kind != "group"}
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b and a in page and b in page and page[a] == page[b]:
+            near[a].add(b)
+            near[b].add(a)
+    found = {}
+    for source in arrows:
+        found[source, source], queue = 0, deque([source])
+        while queue:
+            at = queue.popleft()
+            for b in near[at] if at == source or at not in arrows else ():
+                if (source, b) not in found:
+                    found[source, b] = found[source, at] + 1
+                    queue.append(b)
+    return found
+
+
+def test_searches_run_until_nothing_is_new(spark):
+    nodes, edges = queries.stream_graph(spark, "/root/testdata/sf0.001")
+    want = plain_distances([tuple(r) for r in nodes.select("id", "page", "kind", "page_io").collect()], [tuple(r) for r in edges.collect()])
+    assert max(want.values()) > queries.STREAM_STEPS
+    assert {(r["source"], r["id"]): r["distance"] for r in pages.arrow_distances(nodes, edges).collect()} == want
+    io = {r["id"]: (r["page"], r["page_io"]) for r in nodes.where("page_io is not null").collect()}
+    pairs = {(a, b): want.get((a, b)) for a in io for b in io if io[a] == (io[b][0], "input") and io[b][1] == "output"}
+    assert {(r["source"], r["target"]): r["distance"] for r in pages.page_stream(nodes, edges).collect()} == pairs
+
+
+def test_no_way_is_too_long(spark):
+    names = [f"n{i:02}" for i in range(61)]
+    nodes = spark.createDataFrame([(n, 1, "component", {0: "input", 60: "output"}.get(i)) for i, n in enumerate(names)], "id string, page int, kind string, page_io string")
+    edges = spark.createDataFrame([(f"e{a}", a, b) for a, b in zip(names, names[1:], strict=False)], "id string, source_id string, target_id string")
+    assert [tuple(r) for r in pages.page_stream(nodes, edges).collect()] == [("n00", "n60", 60)]
+    assert [r["distance"] for r in pages.page_stream(nodes, edges, 59).collect()] == [None]
+    found, _ = pages.directed_trace(nodes, edges, edges.limit(0), "n05", "output", 1)
+    assert {r["id"] for r in found.collect()} == {"n05", "n06"}
+
+
 def folded(rows):
     states = {}
     for job, _, command, value in sorted(rows, key=lambda r: r[1]):
