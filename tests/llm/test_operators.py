@@ -268,6 +268,18 @@ def test_word_ids_are_the_tokenizers(text):
     assert np.frombuffer(b"".join(words[w] for w in text.encode().split()), "<u4").tolist() == whole
 
 
+def test_ids_are_those_of_the_tokenizer_as_loaded(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x21, 0x250) if not chr(c).isspace()]
+    texts = ["end <|endoftext|> more", "<|startoftext|>", "a<|endoftext|>B.<|endoftext|>", "<|ENDOFTEXT|>", "İstanbul İ. x-İ", *letters, *(f"A{c}b" for c in letters), *(f"{c}." for c in letters)]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    assert [got[i] for i in range(len(texts))] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert 49407 in got[0] and 49406 in got[1]
+
+
 _WORDS: list = []
 
 

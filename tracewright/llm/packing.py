@@ -29,7 +29,8 @@ LENGTH, END_ID = 4096, 2
 # How the tokenizer of this vocabulary splits a word, for words of the letters below U+0250.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 LATIN = "\u0250"
-PLAIN = r"[!-~\u00a1-\u00ac\u00ae-\u024f]+"
+# Without U+0130, whose lower case is two characters, of which one is no letter.
+PLAIN = r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+"
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,7 +49,7 @@ class WordIds(Memo):
     """Ids (little-endian, four bytes each) of a word. The tokenizer never joins across white space, so a text's ids are its words' ids in turn.
 
     Plain words are lower-cased and split here and merged by the tokenizer's model, where that is what the tokenizer
-    does (plain is set); all other words go through the whole tokenizer.
+    does (plain is set); all other words go through the whole tokenizer, as do those that hold a special token.
     """
 
     room = 500_000
@@ -58,17 +59,18 @@ class WordIds(Memo):
 
         self.tokenizer, self.plain, self.parts = tokenizer, plain, PartIds(tokenizer.model)
         self.matches, self.split = regex.compile(PLAIN).fullmatch, regex.compile(SPLIT).findall
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: bytes) -> bytes:
         text, part = word.decode("utf-8", "replace"), self.parts.__getitem__
         if not self.plain:
             ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        elif text.isalpha() and max(text) < LATIN:
-            ids = part(text.lower())
-        elif text[-1] in ".," and (stem := text[:-1]).isalpha() and max(stem) < LATIN:
-            ids = part(stem.lower()) + part(text[-1])
-        elif self.matches(text):
-            ids = b"".join(map(part, self.split(text.lower())))
+        elif (low := text.lower()).isalpha() and max(text) < LATIN:
+            ids = part(low)
+        elif text[-1] in ".," and (stem := low[:-1]).isalpha() and max(text) < LATIN:
+            ids = part(stem) + part(text[-1])
+        elif self.matches(text) and not any(s in text for s in self.special):
+            ids = b"".join(map(part, self.split(low)))
         else:
             ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return self.put(word, ids)
@@ -99,7 +101,9 @@ def splits_plainly(definition: str) -> bool:
     steps = [x.get("type") for x in (d.get("normalizer") or {}).get("normalizers", [])]
     split = (d.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
     pattern = (split[0].get("pattern") or {}).get("Regex", "").replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")
-    return steps == ["NFC", "Replace", "Lowercase"] and pattern == SPLIT and [x.get("type") for x in split[1:]] == ["ByteLevel"]
+    # Special tokens are looked for as they are written, and in no word that is letters with at most a point or comma.
+    special = all(not t["normalized"] and any(not c.isalpha() and c not in ".," for c in t["content"]) for t in d.get("added_tokens", []))
+    return special and steps == ["NFC", "Replace", "Lowercase"] and pattern == SPLIT and [x.get("type") for x in split[1:]] == ["ByteLevel"]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -113,9 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id
         from tokenizers import Tokenizer
 
         def words() -> WordIds:
-            tokenizer = Tokenizer.from_str(shipped.value)
-            tokenizer.encode_special_tokens = True
-            return WordIds(tokenizer, plain)
+            return WordIds(Tokenizer.from_str(shipped.value), plain)
 
         memo, seen = kept(("ids", tokenizer_path), words), Counter()
         task = TaskContext.get().partitionId()
