@@ -469,6 +469,30 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+LEAD, BODY = "A lead that stands before the body.", " ".join(f"Sentence {k} of the body goes on for some more words." for k in range(20))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<article><h1>Title</h1><p>{}</p><div class='entry-content'><p>{}</p></div></article>",
+        "<div class='wrap'><h1>Title</h1><p>{}</p><div class='entry-content'><p>{}</p></div></div>",
+        "<div><h1>Title</h1><p>{}</p></div><div><div><p>{}</p></div></div>",
+    ],
+)
+def test_html_title_and_lead_outside_the_body_container(body):
+    assert html_extract.Page(page(body.format(LEAD, BODY))).text([]) == f"Title\n{LEAD}\n{BODY}"
+
+
+def test_html_votes_drop_no_lead(spark):
+    bare = page(f"<article><div class='entry-content'><p>{BODY}</p></div></article>")
+    whole = page(f"<article><h1>Title</h1><p>{LEAD}</p><div class='entry-content'><p>{BODY}</p></div></article>")
+    parts = page(f"<div class='post'><article class='one'><p>{BODY}</p></article><article class='two'><p>{LEAD}</p></article></div>")
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", bare) for i in range(5)] + [(5, "http://h.example/5", whole), (6, "http://h.example/6", parts)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == {**dict.fromkeys(range(5), BODY), 5: f"Title\n{LEAD}\n{BODY}", 6: f"{BODY}\n{LEAD}"}
+
+
 # 9
 
 

@@ -2,7 +2,8 @@
 
 Pass 1 parses each page, scores its containers by the text that they hold and names the best by a generalised path: tags
 with their classes, digits replaced. Spark counts the votes for each host and path. Pass 2 takes, on each page, the
-elements at the path with most votes that the page has; a page with none of them falls back on its own best container. Menus,
+elements at the path with most votes that the page has, and its own best container, so the votes drop nothing that a page
+names as its article; a page with none of them falls back on its own best container. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role and
 words of class and id.
 
@@ -24,7 +25,7 @@ from .common import batch_of, lean, materialize
 
 #: Paths that a host keeps, and hosts whose table is broadcast; with more hosts it is joined by a shuffle.
 PATHS, BROADCAST_HOSTS = 3, 100_000
-#: Weight of an element that says it is the article, and share of the best score that a deeper container needs.
+#: Weight of an element that says it is the article, and share of the page's text that it then needs.
 NAMED, ENOUGH = 1.5, 0.8
 
 # Names of HTML elements.
@@ -37,6 +38,7 @@ LEFT_OUT = frozenset("head nav footer aside form button select option datalist d
 LEFT_OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+NO_CONTAINERS = frozenset("p li h1 h2 h3 h4 h5 h6 pre dt dd tr ul ol blockquote".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 NAMED_WORDS = frozenset("article content main post entry story".split())
 ENDS_ITS_LIKE = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -168,27 +170,61 @@ class Page:
 
     def best(self) -> tuple[int, float]:
         """The container with the article and its score."""
-        held = [0.0] * len(self.tag)
+        element, _, score = self._article()
+        return element, score
+
+    def _article(self) -> tuple[int, bool, float]:
+        """The container with the article, whether the page names it, and its score.
+
+        It holds all that the page names, with the title, or the whole page; a deeper one is taken only if it loses no more
+        than blocks of links, and none within an article element.
+        """
+        held, child = [0] * len(self.tag), {}
         for element, text, links in self.blocks:
             value = max(0, len(text) - 2 * links)
             for k in self._ancestors(element):
                 held[k] += value
-        score = [v * (NAMED if named else 1.0) for v, named in zip(held, self.named, strict=True)]
-        containers = [k for k in range(len(self.tag)) if self.tag[k] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dt", "dd", "tr", "ul", "ol", "blockquote") and not self.left_out[k]]
-        top = max((score[k] for k in containers), default=0.0)
-        if not top:
-            return 0, 0.0
-        k = max((k for k in containers if score[k] >= ENOUGH * top), key=lambda k: (self.depth[k] if self.named[k] or held[k] >= ENOUGH * held[0] else -1, -k))
-        return k, score[k]
+        if not held[0]:
+            return 0, False, 0.0
+        stated = [k for k in range(len(self.tag)) if held[k] and not self.left_out[k] and (self.named[k] and self.tag[k] not in ("html", "body") or self.tag[k] == "h1")]
+        at, named = 0, False
+        if any(self.tag[k] not in NO_CONTAINERS for k in stated):
+            at = stated[0]
+            for k in stated[1:]:
+                at = self._around(at, k)
+            named = held[at] * NAMED >= ENOUGH * held[0] and self.tag[at] not in ("", "html", "body")
+            at = at if named else 0
+        for k in range(1, len(self.tag)):
+            if held[k] and held[k] == held[self.parent[k]]:
+                child[self.parent[k]] = k
+        found = at
+        while self.tag[found] != "article" and at in child:
+            at = child[at]
+            if self.tag[at] not in NO_CONTAINERS:
+                found = at
+        return found, named, held[found] * (NAMED if named else 1.0)
+
+    def _around(self, a: int, b: int) -> int:
+        """The deepest element that holds both."""
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return a
 
     def text(self, paths: list[str]) -> str:
-        """Blocks below the elements at the first of paths that has text, else below the page's best container."""
+        """Blocks below the elements at the first of paths that has text, with those of the page's own container.
+
+        The own container is passed over where the page does not name it and the host's is named.
+        """
+        own, named, _ = self._article()
         for path in paths:
             roots = {k for k in range(len(self.tag)) if not self.left_out[k] and self.path(k) == path} if path else {0}
-            found = self._below(roots)
-            if found:
-                return found
-        return self._below({self.best()[0]})
+            if self._below(roots):
+                sure = not named and any(self.named[k] and self.tag[k] not in ("html", "body") for root in roots for k in self._ancestors(root))
+                return self._below(roots if sure else roots | {own})
+        return self._below({own})
 
     def _below(self, roots: set[int]) -> str:
         inside = [False] * len(self.tag)
