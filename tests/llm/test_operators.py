@@ -493,6 +493,28 @@ def test_html_votes_drop_no_lead(spark):
     assert got == {**dict.fromkeys(range(5), BODY), 5: f"Title\n{LEAD}\n{BODY}", 6: f"{BODY}\n{LEAD}"}
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class='layout no-sidebar'><h1>Title</h1><p>{}</p><p>{}</p></div>",
+        "<div id='page' class='has-sidebar'><article><h1>Title</h1><p>{}</p><p>{}</p></article><div class='sidebar'><p>Other words</p></div></div>",
+        "<div class='page-sidebar-right'><article><h1>Title</h1><p>{}</p><p>{}</p></article><div class='sidebar'><p>Other words</p></div></div>",
+        "<div class='notice-board'><h1>Title</h1><p>{}</p><p>{}</p></div>",
+        "<article><h1>Title</h1><section id='related-work'><p>{}</p></section><p>{}</p></article>",
+        "<article><h1>Title</h1><p>{}</p><noscript><p>{}</p></noscript></article>",
+        "<article><h1>Title</h1><dialog><p>{}</p></dialog><object><p>{}</p></object></article>",
+        "<article><h1>Title</h1><p>{}</p><p>{}</p></article><div id='comments'><article><p>No.</p></article></div><div class='ad'>" + 9 * "Buy this and more of it. " + "</div>",
+        "<h1>Title</h1><p>{}</p><p>{}</p><div id='comments'>" + 99 * "<p>I disagree with all of this at length</p>" + "</div>",
+    ],
+)
+def test_html_marks_around_the_article_do_not_drop_it(body):
+    assert html_extract.Page(page(body.format(LEAD, BODY))).text([]) == f"Title\n{LEAD}\n{BODY}"
+
+
+def test_html_keeps_formulas():
+    assert html_extract.Page(page(f"<article><p>{BODY} <math><mi>x</mi></math></p></article>")).text([]) == f"{BODY} x"
+
+
 # 9
 
 

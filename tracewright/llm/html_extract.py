@@ -5,7 +5,7 @@ with their classes, digits replaced. Spark counts the votes for each host and pa
 elements at the path with most votes that the page has, and its own best container, so the votes drop nothing that a page
 names as its article; a page with none of them falls back on its own best container. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role and
-words of class and id.
+words of class and id; words do not leave out what is around the article.
 
 Defined cases: a null html is an empty page, with an empty text; a null or odd URL has the empty host; rows that repeat are
 extracted each; an empty table gives an empty result; columns besides page_id, url and html are not read.
@@ -34,30 +34,48 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-LEFT_OUT = frozenset("head nav footer aside form button select option datalist dialog menu search svg math canvas iframe object audio video map template noscript script style".split())
+LEFT_OUT = frozenset("head nav footer aside form button select option datalist menu search svg canvas iframe audio video map template script style".split())
 LEFT_OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar".split()
 )
 NO_CONTAINERS = frozenset("p li h1 h2 h3 h4 h5 h6 pre dt dd tr ul ol blockquote".split())
-LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
+#: Of these, the words of readers' comments: much text does not make them the article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words that say of the next one that the element is about it, not that it is it.
+ABOUT = frozenset("no not has have with without".split())
+LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert menu menubar".split())
 NAMED_WORDS = frozenset("article content main post entry story".split())
 ENDS_ITS_LIKE = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>|/[^>]*>)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def words_in(names: str) -> set[str]:
+    """Words of classes and ids, without those that a class only speaks about: no-sidebar is no sidebar."""
+    out = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        out.update(w for k, w in enumerate(words) if not k or words[k - 1] not in ABOUT)
+    return out
+
+
 _DIGITS = re.compile(r"\d+")
 
 
 class Page:
     """Elements that matter as parallel lists, and the blocks of text in page order."""
 
-    __slots__ = ("blocks", "depth", "label", "named", "parent", "tag", "left_out")
+    __slots__ = ("blocks", "depth", "label", "left_out", "marked", "named", "parent", "tag")
 
     def __init__(self, source: str):
         self.tag, self.parent, self.depth, self.label, self.left_out, self.named = [""], [-1], [0], [""], [False], [False]
+        self.marked: dict[int, bool] = {}  # elements marked by words of class and id, and whether as comments
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._parse(source)
+        if self.marked:
+            self._leave_out_marked()
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
         classes = role = ident = ""
@@ -73,10 +91,15 @@ class Page:
                     role = value.lower()
                 else:
                     hidden |= name == "hidden" or value.lower() == "true"
-        words = {w.lower() for w in _WORDS.findall(f"{classes} {ident}")} if classes or ident else frozenset()
+        words = words_in(f"{classes} {ident}") if classes or ident else frozenset()
         within = self.left_out[parent]
         inside_article = any(self.tag[k] in ("article", "main") for k in self._ancestors(parent)) if tag in ("header", "hgroup") or "header" in words else False
-        out = within or hidden or tag in LEFT_OUT or role in LEFT_OUT_ROLES or bool(words & LEFT_OUT_WORDS) and tag not in ("html", "body", "article", "main") or (tag == "header" or "header" in words) and not inside_article and tag not in ("h1", "html", "body", "article", "main")
+        out = within or hidden or tag in LEFT_OUT or role in LEFT_OUT_ROLES or tag == "header" and not inside_article
+        if not out and tag not in ("html", "body", "article", "main") and (words & LEFT_OUT_WORDS or "header" in words and not inside_article and tag != "h1"):
+            if tag in BLOCK:
+                self.marked[len(self.tag)] = bool(words & COMMENT_WORDS)
+            else:
+                out = True
         self.tag.append(tag)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
@@ -85,6 +108,28 @@ class Page:
         self.named.append(tag in ("article", "main") or role == "main" or bool(words & NAMED_WORDS))
         return len(self.tag) - 1
 
+    def _leave_out_marked(self) -> None:
+        """Marked elements go, but for those around the article: the longest article element, or most of the page's text."""
+        n = len(self.tag)
+        held, under = [0] * n, [False] * n
+        for k in range(1, n):  # parents come first
+            under[k] = under[self.parent[k]] or k in self.marked
+        free = 0
+        for element, text, links in self.blocks:
+            value = max(0, len(text) - 2 * links)
+            free += 0 if under[element] else value
+            for k in self._ancestors(element):
+                held[k] += value
+        articles = [k for k in range(n) if self.tag[k] in ("article", "main") and held[k] and not self.left_out[k]]
+        longest = max(articles, key=lambda k: (held[k], -k), default=0)
+        around = set(self._ancestors(longest)) if longest and (not under[longest] or held[longest] > free) else set()
+        for k in range(1, n):
+            if k in self.marked:
+                most = not around and 2 * held[k] > held[0] and not self.marked[k]
+                self.left_out[k] |= not (k in around or most)
+            self.left_out[k] |= self.left_out[self.parent[k]]
+        self.blocks = [b for b in self.blocks if not self.left_out[b[0]]]
+
     def _ancestors(self, element: int) -> Iterator[int]:
         while element >= 0:
             yield element
@@ -162,8 +207,8 @@ class Page:
         flush()
 
     def _left_out_inline(self, tag: str, attributes: str) -> bool:
-        words = {w.lower() for name, value in _ATTR.findall(attributes) if name.lower() in ("class", "id") for w in _WORDS.findall(value)}
-        return bool(words & LEFT_OUT_WORDS)
+        words = (words_in(value.strip("\"'")) for name, value in _ATTR.findall(attributes) if name.lower() in ("class", "id"))
+        return any(w & LEFT_OUT_WORDS for w in words)
 
     def path(self, element: int) -> str:
         return ">".join(reversed([self.label[k] for k in self._ancestors(element) if self.label[k] not in ("", "html", "body")]))
