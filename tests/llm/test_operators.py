@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracewright.llm import common, components, deep_shallow, exact_dedup, html_extract, mixing, ngram_join, packing, pitman_yor, quality, suffix_dedup, token_count, warc
 from tracewright.llm.queries import tokenizer
 
@@ -578,3 +579,87 @@ def test_cuts_cover(head, seed):
 def test_shared_folder_is_the_sessions(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert common.shared_root(spark) == (named.rstrip("/") if named else common.shared_root(spark))
+
+
+# pipeline
+
+
+def plain_log_perplexities(texts):
+    """Mean -log10 of each text under a modified Kneser-Ney model of all of them, over 4-grams of classes held in dictionaries."""
+    grams = []
+    for text in texts:
+        symbols = [0, 0, 0, *(int(quality._CLASS[ord(c)]) for c in text), 0]
+        grams.append([tuple(symbols[i : i + 4]) for i in range(len(symbols) - 3)])
+    levels = {4: Counter(g for own in grams for g in own)}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    p = {(): 1 / 64}
+    for k in (1, 2, 3, 4):
+        of = Counter(levels[k].values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else None
+        d = {c: 0.5 if y is None or not of[c] else min(max(c - (c + 1) * y * of[c + 1] / of[c], 0), c - 0.01) for c in (1, 2, 3)}
+        total, spare = Counter(), defaultdict(float)
+        for g, n in levels[k].items():
+            total[g[:-1]] += n
+            spare[g[:-1]] += d[min(n, 3)]
+        p.update({g: (max(n - d[min(n, 3)], 0) + spare[g[:-1]] * p[g[1:]]) / total[g[:-1]] for g, n in levels[k].items()})
+    return [-sum(math.log10(p[g]) for g in own) / len(own) for own in grams]
+
+
+def plainly_good(rows):
+    by, out = defaultdict(list), []
+    for r in rows:
+        by[r[2]].append(r)
+    middle = lambda values: sorted(values)[(len(values) + 1) // 2 - 1]
+    for own in by.values():
+        logs = plain_log_perplexities([r[1] or "" for r in own])
+        binned = [math.floor(x * 1000 + 0.5) / 1000 for x in logs]
+        centre = middle(binned)
+        spread = max(0.02, 1.4826 * middle([abs(x - centre) for x in binned]))
+        for r, x in zip(own, logs, strict=True):
+            n_words, _, _, _, repeated = brute_statistics(r[1])
+            width = spread * math.sqrt(1 + 800 / (len(r[1] or "") + 1))
+            if n_words >= 10 and 100 * repeated <= 20 * n_words and -2.6 * width <= x - centre <= 15 * width:
+                out.append(r)
+    return out
+
+
+def test_pipeline_against_plain_python(spark, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    odd = [(1000, " ".join("".join(rng.choice("abab") for _ in range(12)) for _ in range(400)), "en", "hot", 0, 1, "", "", "")]
+    given_rows = rows + odd
+    spark.createDataFrame(given_rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    good = plainly_good(given_rows)
+    groups = defaultdict(list)
+    for r in good:
+        groups["".join(r[1].split())].append(r)
+    single = [min(own, key=lambda r: (-len(r[1]), r[0])) for own in groups.values()]
+    left = [r for r, (i, _, component) in zip(single, brute_components(single, 5, 80), strict=True) if i == component]
+    base = [r for r in given_rows if (w := brute_statistics(r[1]))[0] >= 10 and 100 * w[4] <= 20 * w[0]]
+    assert len(given_rows) > len(base) > len(good) > len(single) > len(left) > 20  # every stage has work
+    sizes, largest, taken = Counter(), Counter(), Counter()
+    for r in left:
+        sizes[r[3]] += len(r[1].split())
+        largest[r[3]] = max(largest[r[3]], len(r[1].split()))
+    names = [*sorted(s for s in sizes if s is not None), None]
+    targets = dict(zip(names, mixing.water_fill([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    t = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    texts_ = {r[0]: r for r in left}
+    assert set(pieces) <= set(texts_)
+    for i, (_, text, _, source, *_) in texts_.items():
+        copies = sum(start == 0 for start, _ in pieces[i])
+        share = targets[source] / sizes[source]
+        assert math.floor(share + 1e-9) <= copies <= math.ceil(share - 1e-9)
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert sorted(pieces[i]) == sorted((k, ids[k : k + packing.LENGTH]) for k in range(0, len(ids), packing.LENGTH) for _ in range(copies))
+        taken[source] += copies * len(text.split())
+    assert all(abs(taken[s] - targets[s]) <= largest[s] for s in names)
+    for own in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(own)]).tolist()
+        assert [at for at, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= packing.LENGTH
