@@ -147,14 +147,60 @@ def test_word_statistics(text):
     assert quality.word_statistics(text) == brute_statistics(text)
 
 
-def test_kneser_ney_sums_to_one_and_backs_off():
-    c = np.concatenate([quality.codes(t) for t in ("the cat sat on the mat.", "a dog, a log", "the log")])
-    model = quality.KneserNey.fit(*np.unique(c.astype(np.int64), return_counts=True))
-    for context in ("the", " ca", "zzz"):
-        last = quality.codes(context + "a")[3 - 0] >> quality.SYMBOL_BITS
-        every = (int(last) << quality.SYMBOL_BITS) + np.arange(64)
-        assert math.isclose((10 ** model.log10(every)).sum(), 1, rel_tol=1e-4)
+@pytest.mark.parametrize("most", [2_000_000, 40])
+def test_kneser_ney_sums_to_one_and_backs_off(spark, most):
+    rows = [("en", t) for t in ("the cat sat on the mat.", "a dog, a log", "the log", "\U0001f600 a")] + [(None, "xyz")]
+    models = quality.fit(spark.createDataFrame(rows, "lang string, text string"), model_grams=most)
+    model = models["en"]
+    for context in ("the", " ca", "zzz", "\0\0\0"):
+        last = quality.codes(context + "a")[3] >> np.uint64(16)
+        every = (last << np.uint64(16)) + np.arange(1 << 16, dtype=np.uint64)
+        assert math.isclose((10 ** model.log10(every)).sum(), 1, rel_tol=1e-3)
     assert model.log10(quality.codes("the cat")).mean() > model.log10(quality.codes("xq9zv#%")).mean()
+    assert max(len(g.hashes) for g in model.grams[1:]) <= most
+    assert models[None].log10(quality.codes("xyz")).sum() > models["en"].log10(quality.codes("xyz")).sum()
+
+
+def test_bands_reject_on_both_sides(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    rows = [(i, "en", " ".join(rng.choice(words) for _ in range(200)), 1) for i in range(200)]
+    rows += [(1000, "en", " ".join("".join(rng.choice("QXZJKVWPYG#0123456789") for _ in range(9)) for _ in range(200)), 0)]
+    rows += [(1001, "en", " ".join(("et" * (1 + i % 2)) + str(i % 7) for i in range(20)) + " " + "t " * 300, 0)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string, good int")).collect()}
+    assert got[1000]["log_perplexity"] > got[1000]["upper_band"] and not got[1000]["kept"]
+    assert got[1001]["log_perplexity"] < got[1001]["lower_band"] and not got[1001]["kept"]
+    assert sum(got[i]["kept"] for i in range(200)) >= 198
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_words int, kept string, __n int, __d int, __key int, copies string, `a b` int"
+
+
+def test_clashing_names_of_columns_pass_through(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(90)]
+    texts_ = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(50)]
+    rows = [(i % 60, texts_[i % 50], "en", "ab"[i % 2], i, f"k{i}", -i, 7, 8, "c", 9) for i in range(80)]
+    df = spark.createDataFrame(rows, CLASHING)
+    for f in (quality.good_documents, exact_dedup.without_copies, lambda d: ngram_join.one_of_each(d, size=5, percent=80), mixing.mixed_documents):
+        got = f(df)
+        assert got.schema == df.schema and got.count() > 0
+        assert {tuple(r) for r in got.collect()} <= set(rows)
+    judged = quality.judge(df)
+    assert [c for c in judged.columns if c not in quality.RESULT] == ["doc_id", "text", "lang", "source", "__n", "__d", "__key", "copies", "a b"]
+    assert dict(judged.dtypes)["kept"] == "boolean"
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_copies_of_rows_that_repeat(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    rows = [(1, "a", i) for i in range(10)] + [(None, "a", 20), (None, "a", 21), (2, "b", 30), (3, None, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(4)
+    key = {r["text"]: r["x"] for r in docs.select("text", common.row_key().alias("x")).collect()}
+    decided = [(1, key["a"], c) for c in (3, 2, 2, 1, 1, 1, 0, 0, 0, 0)] + [(None, key["a"], 2), (None, key["a"], 0), (2, key["b"], 0), (3, key[None], 2)]
+    got = Counter((r["doc_id"], r["text"], r["k"]) for r in common.apply_copies(docs, spark.createDataFrame(decided, "doc_id long, row_key long, copies int")).collect())
+    assert sorted(got[1, "a", i] for i in range(10)) == sorted((3, 2, 2, 1, 1, 1, 0, 0, 0, 0))
+    assert sorted((got[None, "a", 20], got[None, "a", 21])) == [0, 2] and got[2, "b", 30] == 0 and got[3, None, 40] == 2
 
 
 # 3
@@ -445,6 +491,30 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df, least_bytes=100).where("record_type = 'response'").count() == len(pages)
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_warc_one_response_for_a_payload(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    long = "é" * 3_000_000
+    rows = [(1, "u", "x", "p")] * 5 + [(2, "v", "x", "q"), (1, "a", "x", "r"), (9, "w", None, ""), (9, "w", None, ""), (None, None, "", ""), (3, "long", long, ""), (4, "long", long, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").repartition(4)
+    got = warc.round_trip(df).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["payload_digest"]].append(r)
+    assert sorted(len(v) for v in by.values()) == [2, 3, 7]
+    for data, first in ((b"x", 1), (b"", 9), (long.encode(), 3)):
+        own = by[warc.digest_of(data)]
+        assert [(r["page_id"], r["refers_to"], r["payload_bytes"]) for r in own if r["record_type"] == "response"] == [(first, None, len(data))]
+        assert all(r["refers_to"] == first and r["payload_bytes"] == len(data) for r in own if r["record_type"] == "revisit")
+    folder = common.shared_path(spark, "test-warc")
+    files = {r["file"] for r in warc.write(df, folder).collect()}
+    data = b"".join(gzip.decompress(open(f, "rb").read()) for f in files)
+    ids = [x for x in data.split(b"\r\n") if x.startswith(b"WARC-Record-ID: ")]
+    refers = {x.removeprefix(b"WARC-Refers-To: ") for x in data.split(b"\r\n") if x.startswith(b"WARC-Refers-To: ")}
+    assert len(ids) == len(set(ids)) == len(rows) and refers <= {x.removeprefix(b"WARC-Record-ID: ") for x in ids}
+
+
 def test_reads_coalesce():
     assert [(a, b) for a, b, _ in warc.reads([(0, 10), (12, 5), (100, 10), (17, 3)], gap=5, most=1000)] == [(0, 20), (100, 110)]
     assert len(warc.reads([(0, 10), (10, 10), (20, 10)], gap=5, most=20)) == 2
@@ -453,6 +523,36 @@ def test_reads_coalesce():
 # 8
 
 
+def test_html_words_of_classes_drop_no_line_of_the_article():
+    body = "<article><h1>T</h1><p class='comment'>one <span class='share'>share-price</span></p><section class='related-work'><p>two</section><div class='comments'><p>three</div></article>"
+    assert html_extract.Page(page(body)).text([]) == "T\none share-price\ntwo"
+
+
+@pytest.mark.parametrize("unit", ["<p title=\"x>a", "<div>a", "<ul><li>a", "<a ", "</td>", "<header>a", "<p x='", "<!-", "<td>a"])
+def test_html_takes_time_in_proportion_to_the_page(unit):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.Page(unit * n).text(["div>div"])
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 12 * max(0.02, min(seconds(8_000), seconds(8_000)))
+
+
+@pytest.mark.parametrize("limit", [0, 300_000])
+def test_html_every_template_of_a_host_counts(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_extract, "BROADCAST_PATHS", limit)
+    rows = [(10 * t + i, "http://h/x", f"<body><div class='menu'>m m m m</div><div class='t{'abcdefgh'[t]}'><p>text {i} of template</div><div class='x'><p>{'noise ' * (0 if i else 3)}</div></body>", "extra") for t in range(8) for i in range(4)]
+    rows += rows[:1]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert len(got) == len(rows)
+    paths = html_extract.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).first()["paths"]
+    assert len(paths) >= 8 and {p for p in paths if ".t" in p} == {f"div.t{c}" for c in "abcdefgh"}
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def page(body):
     return f"<html><head><title>t</title></head><body><nav><ul><li><a href='/'>Home</a></ul></nav>{body}<footer>foot &copy;</footer></body></html>"
 
@@ -585,15 +685,15 @@ def test_shared_folder_is_the_sessions(spark):
 
 
 def plain_log_perplexities(texts):
-    """Mean -log10 of each text under a modified Kneser-Ney model of all of them, over 4-grams of classes held in dictionaries."""
+    """-log10 of each text under a modified Kneser-Ney model of all of them, over 4-grams of UTF-16 units held in dictionaries, and the units scored."""
     grams = []
     for text in texts:
-        symbols = [0, 0, 0, *(int(quality._CLASS[ord(c)]) for c in text), 0]
+        symbols = [0, 0, 0, *np.frombuffer(text.encode("utf-16-le"), "<u2").tolist(), 0]
         grams.append([tuple(symbols[i : i + 4]) for i in range(len(symbols) - 3)])
     levels = {4: Counter(g for own in grams for g in own)}
     for k in (3, 2, 1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
-    p = {(): 1 / 64}
+    p = {(): 2.0**-16}
     for k in (1, 2, 3, 4):
         of = Counter(levels[k].values())
         y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else None
@@ -603,7 +703,7 @@ def plain_log_perplexities(texts):
             total[g[:-1]] += n
             spare[g[:-1]] += d[min(n, 3)]
         p.update({g: (max(n - d[min(n, 3)], 0) + spare[g[:-1]] * p[g[1:]]) / total[g[:-1]] for g, n in levels[k].items()})
-    return [-sum(math.log10(p[g]) for g in own) / len(own) for own in grams]
+    return [(-sum(math.log10(p[g]) for g in own), len(own)) for own in grams]
 
 
 def plainly_good(rows):
@@ -612,18 +712,24 @@ def plainly_good(rows):
         by[r[2]].append(r)
     middle = lambda values: sorted(values)[(len(values) + 1) // 2 - 1]
     for own in by.values():
+        counted = [brute_statistics(r[1]) for r in own]
         logs = plain_log_perplexities([r[1] or "" for r in own])
-        binned = [math.floor(x * 1000 + 0.5) / 1000 for x in logs]
-        centre = middle(binned)
-        spread = max(0.02, 1.4826 * middle([abs(x - centre) for x in binned]))
-        for r, x in zip(own, logs, strict=True):
-            n_words, _, _, _, repeated = brute_statistics(r[1])
-            width = spread * math.sqrt(1 + 800 / (len(r[1] or "") + 1))
-            if n_words >= 10 and 100 * repeated <= 20 * n_words and -2.6 * width <= x - centre <= 15 * width:
-                out.append(r)
+        ok = [w[0] >= 10 and 100 * w[4] <= 20 * w[0] for w in counted]
+        for below, above, values in ((3.0, 5.0, [x / max(1, w[0]) for (x, _), w in zip(logs, counted, strict=True)]), (3.5, 6.0, [x / n for x, n in logs])):
+            binned = [math.floor(x * 1000 + 0.5) / 1000 for x in values]
+            centre = middle(binned)
+            spread = max(0.01, 1.4826 * middle([abs(x - centre) for x in binned]))
+            widths = [spread * math.sqrt(1 + 800 / n) for _, n in logs]
+            ok = [good and -below * w <= x - centre <= above * w for good, x, w in zip(ok, values, widths, strict=True)]
+        out.extend(r for r, good in zip(own, ok, strict=True) if good)
     return out
 
 
+def test_verdict_of_quality_against_plain_python(docs, rows):
+    kept = sorted(str(r["doc_id"]) for r in quality.judge(docs).where("kept").collect())
+    assert kept == sorted(str(r[0]) for r in plainly_good(rows))
+
+
 def test_pipeline_against_plain_python(spark, rows, tmp_path):
     from tokenizers import Tokenizer
 

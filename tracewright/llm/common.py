@@ -34,6 +34,7 @@ BATCH_ROWS = 2000
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder. Arrow batches of the session are limited to BATCH_ROWS rows, as the operators hold whole batches of texts."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
         spark.conf.set(setting, str(BATCH_ROWS))
@@ -60,34 +61,57 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-#: Rows (two longs and a count) that apply_copies broadcasts; with more, it shuffles.
+#: Rows of a few longs that a join broadcasts; with more, it shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows (BROADCAST_ROWS if not given)."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def numbered(df: DataFrame, prefix: str = "__column") -> tuple[DataFrame, list[Column]]:
+    """df with its columns renamed by place, so that none clashes with a name of ours, and the columns that name them back."""
+    return df.toDF(*[f"{prefix}{i}" for i in range(len(df.columns))]), [F.col(f"{prefix}{i}").alias(c) for i, c in enumerate(df.columns)]
+
+
+def place_of(df: DataFrame, name: str, prefix: str = "__column") -> Column:
+    """The column called name, in numbered(df)."""
+    return F.col(f"{prefix}{[c.lower() for c in df.columns].index(name)}")
+
+
 def apply_copies(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs with each row repeated as often as decided says.
+    """docs with each row repeated as often as decided says, whatever its columns are called.
 
     decided holds doc_id, row_key and copies, a row for each row of docs, 0 for those that go. Rows of docs equal in doc_id and text
-    take the copies of their rows of decided in falling order. Null ids match null ids.
+    take the copies of their rows of decided in falling order. Null ids match null ids. Of such rows only the numbers of copies are
+    gathered, with how many rows have each, so rows that repeat without end are never in one list.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keys = decided.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k"), F.col("copies").cast("int").alias("__c"))
-    listed = materialize(keys.groupBy("__d", "__k").agg(F.sort_array(F.collect_list("__c"), asc=False).alias("__cs")), "copies")
-    keyed = docs.withColumn("__key", row_key())
-    same = lambda left, right: left["doc_id"].eqNullSafe(right["__d"]) & (left["__key"] == right["__k"])
-    odd = listed.where("size(__cs) > 1")
-    few = odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # Rows that are alone with their id and text, nearly all: those not taken once are told, whatever is left stays.
-    alone = listed.where("size(__cs) > 1 or __cs[0] != 1").select("__d", "__k", F.when(F.size("__cs") == 1, F.col("__cs")[0]).otherwise(0).alias("__n"))
-    alone = F.broadcast(alone) if alone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else alone
+    plain, back = numbered(docs)
+    keys = decided.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k"), F.col("copies").cast("int").alias("__c")).groupBy("__d", "__k", "__c").agg(F.count("*").alias("__m"))
+    listed = keys.groupBy("__d", "__k").agg(F.sort_array(F.collect_list(F.struct("__c", "__m")), asc=False).alias("__cs"), F.max("__c").alias("__n"))
+    listed = materialize(listed, "copies")
+    keyed = plain.select("*", place_of(docs, "doc_id").alias("__doc"), F.xxhash64(place_of(docs, "text")).alias("__key"))
+    same = lambda left, right: left["__doc"].eqNullSafe(right["__d"]) & (left["__key"] == right["__k"])
+    # Nearly all rows are taken once; the others are told, whatever is left stays.
+    alone = small(listed.where("size(__cs) > 1 or __n != 1").select("__d", "__k", F.when(F.size("__cs") == 1, F.col("__n")).otherwise(0).alias("__n")))
     single = keyed.join(alone, same(keyed, alone), "left").withColumn("__n", F.coalesce("__n", F.lit(1))).where("__n > 0")
-    single = single.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*names)
+    single = single.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*back)
+    odd = listed.where("size(__cs) > 1").select("__d", "__k", "__cs")
     if odd.isEmpty():
         return single
-    odd = F.broadcast(odd) if few else odd
-    several = keyed.join(odd, same(keyed, odd)).withColumn("__rn", F.row_number().over(Window.partitionBy("__d", "__key").orderBy("__key")))
-    copies = F.coalesce(F.get(F.col("__cs"), F.col("__rn") - 1), F.lit(0))
-    return single.unionByName(several.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*names))
+    odd = small(odd)
+    # A row's rank among its equals: its place within a task's own ones, after those of the tasks before.
+    several = materialize(keyed.join(odd, same(keyed, odd)).withColumn("__task", F.spark_partition_id()), "several")
+    counts = several.groupBy("__d", "__key", "__task").agg(F.count("*").alias("__in"))
+    before = F.coalesce(F.sum("__in").over(Window.partitionBy("__d", "__key").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = small(materialize(counts.select(F.col("__d").alias("__sd"), F.col("__key").alias("__sk"), F.col("__task").alias("__st"), before.alias("__shift")), "shifts"))
+    ranked = several.withColumn("__rn", F.row_number().over(Window.partitionBy("__d", "__key", "__task").orderBy("__key")))
+    ranked = ranked.join(shifts, F.col("__d").eqNullSafe(F.col("__sd")) & (F.col("__key") == F.col("__sk")) & (F.col("__task") == F.col("__st"))).withColumn("__rank", F.col("__rn") + F.col("__shift"))
+    # The first run of equal copies whose rows, with those of the runs before, reach the rank.
+    run = F.aggregate("__cs", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("n"), F.lit(False).alias("done")), lambda a, x: F.when(a["done"], a).otherwise(F.struct((a["upto"] + x["__m"]).alias("upto"), x["__c"].alias("n"), (a["upto"] + x["__m"] >= F.col("__rank")).alias("done"))))
+    return single.unionByName(ranked.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), run["n"]))).select(*back))
 
 
 class Memo(dict):

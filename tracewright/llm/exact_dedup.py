@@ -29,6 +29,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 BITS, LEAST, MOST = 11, 256, 65_536
 #: Candidate keys (8 bytes each) that are broadcast; with more, the chunks are filtered by a join.
 BROADCAST_KEYS = 4_000_000
+#: Bytes of recipes, about, whose table of groups is broadcast.
+BROADCAST_BYTES = 64 << 20
 _GEAR = np.random.default_rng(20240611).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -139,15 +141,22 @@ def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) ->
         told = odd.join(variants, ["chunk_id", "chunk"]).groupBy("doc_id", "row_key").agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "variant"))), lambda x: x["variant"]).alias("__v"))
         told = told.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k"), "__v")
         listed = listed.join(told, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row_key") == F.col("__k")), "left").withColumn("variants", F.coalesce("__v", "variants")).drop("__d", "__k", "__v")
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("d"), (-F.col("row")).alias("r")))
+    # Of equal texts the longest original stays, then the smallest id (null after all others), then the first row.
+    none = F.lit(2**63 - 1)
+    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.coalesce("doc_id", none).alias("d"), F.col("row").alias("r")))
     groups = listed.groupBy("recipe", "variants").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1").select(F.col("recipe").alias("__recipe"), F.col("variants").alias("__variants"), "n", "best")
+    # Broadcast behind a sum of its bytes; beyond it the written tables are joined, so a hot recipe's rows can be split over tasks.
+    groups = materialize(groups, "copies-groups")
+    held = groups.agg(F.coalesce(F.sum(60 + 40 * F.size("__recipe")), F.lit(0))).first()[0]
+    groups = F.broadcast(groups) if held <= BROADCAST_BYTES else groups
     out = listed.join(groups, (F.col("recipe") == F.col("__recipe")) & (F.col("variants") == F.col("__variants")), "left")
     alone = F.col("n").isNull()
+    first = F.when(F.col("best.d") == none, F.lit(None)).otherwise(F.col("best.d"))
     return out.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(-F.col("best.d")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(first).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("best.r") == -F.col("row"))).alias("kept"),
+        (alone | (F.col("best.r") == F.col("row"))).alias("kept"),
         "text_sha256",
         "row_key",
     )

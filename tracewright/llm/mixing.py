@@ -12,25 +12,22 @@ repeat count each by itself; an empty table gives an empty result; columns besid
 
 from __future__ import annotations
 
-import math
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, apply_copies, materialize, row_key
+from .common import WORD, apply_copies, lean, materialize, row_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 #: Rows that one task rounds in one go, and the width of the reduction tree.
 GROUP_ROWS, FAN_BITS = 256, 6
-#: Sources whose table is broadcast; with more, it is joined by a shuffle.
+#: Sources whose table is broadcast and whose targets are set on the driver; with more, Spark does both, with the same result.
 BROADCAST_SOURCES = 10_000
-#: Sources that the weights may be set for on the driver; the table of sources is the plan's input, not the documents.
-MOST_SOURCES = 2_000_000
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], cap: float = MAX_COPIES) -> list[float]:
@@ -80,29 +77,75 @@ def pivot(sizes: Sequence[float], parts: Sequence[float], rng: random.Random, la
     return f
 
 
+def _targets_here(sources: DataFrame, weight_of: Callable[[int, str | None], float], cap: int) -> DataFrame:
+    """source_no, source, n, source_size, target of a table of sources that the driver can hold."""
+    found = sorted(sources.collect(), key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
+    targets = water_fill([r.size for r in found], [weight_of(i, r.source) for i, r in enumerate(found)], cap)
+    rows = [(i, r.source, r.n, r.size, t) for i, (r, t) in enumerate(zip(found, targets, strict=True))]
+    return sources.sparkSession.createDataFrame(rows, "source_no long, source string, n long, source_size long, target double")
+
+
+def _targets_there(sources: DataFrame, weight_of: Callable[[int, str | None], float], cap: int) -> DataFrame:
+    """The same by Spark: places by a range sort, and the level of the shares by one sum for each round of resharing."""
+    out = T.StructType([*sources.schema.fields, T.StructField("none", T.BooleanType()), T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())])
+    dealt = sources.withColumn("none", F.col("source").isNull())
+    ranged = dealt.repartitionByRange("none", "source").sortWithinPartitions("none", "source").withColumn("part", F.spark_partition_id())
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(range(at, at + batch.num_rows), pa.int64())], names=[f.name for f in out.fields])
+            at += batch.num_rows
+
+    placed = materialize(ranged.mapInArrow(lean(number), out), "mix-places")
+    parts = placed.groupBy("part").agg(F.count("*").alias("rows")).orderBy("part").collect()  # a row for each task
+    shifts, at = {}, 0
+    for r in parts:
+        shifts[r["part"]] = at
+        at += r["rows"]
+    shift = F.element_at(F.create_map(*[F.lit(x) for pair in shifts.items() for x in pair]), F.col("part"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights = [float(weight_of(i, name)) for i, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([*batch.columns, pa.array(weights, pa.float64())], names=["source_no", "source", "n", "source_size", "weight"])
+
+    numbered_ = placed.select((shift + F.col("nth")).cast("long").alias("source_no"), "source", "n", F.col("size").alias("source_size"))
+    weighed = materialize(numbered_.mapInArrow(lean(weigh), "source_no long, source string, n long, source_size long, weight double"), "mix-weights")
+    total = weighed.agg(F.sum("source_size")).first()[0] or 0
+    full, left = F.lit(False), float(total)
+    level = 0.0
+    while True:
+        share = weighed.where(~full).agg(F.sum("weight")).first()[0]
+        if not share:
+            break
+        level = left / share
+        now = full | (F.lit(level) * F.col("weight") > cap * F.col("source_size"))
+        found = weighed.where(now & ~full).agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+        if not found[0]:
+            break
+        # Levels only rise, so what was full stays so: the last level tells all of them.
+        full, left = F.lit(level) * F.col("weight") > cap * F.col("source_size"), left - float(cap * found[1])
+    target = F.when(full, (cap * F.col("source_size")).cast("double")).otherwise(F.lit(level) * F.col("weight"))
+    return weighed.select("source_no", "source", "n", "source_size", target.alias("target"))
+
+
 def mix(docs: DataFrame, *, weight_of: Callable[[int, str | None], float] | None = None, max_copies: int = MAX_COPIES, seed: int = 17) -> DataFrame:
     """doc_id, row_key, source, size, source_size, target, copies, taken: a row for each row of docs.
 
     weight_of gets a source's place in code point order (null last) and its name; WEIGHTS repeats if it is not given.
     """
-    spark = docs.sparkSession
     weight_of = weight_of or (lambda i, _: WEIGHTS[i % len(WEIGHTS)])
     sizes = materialize(docs.select("doc_id", row_key().alias("row_key"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    found = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
-    targets = water_fill([r.size for r in found], [weight_of(i, r.source) for i, r in enumerate(found)], max_copies)
-    rows, widest = [], 1
-    for i, (r, target) in enumerate(zip(found, targets, strict=True)):
-        p = target / r.size if r.size else 0.0
-        whole = min(max_copies, math.floor(p))
-        groups = max(1, math.ceil(r.n / GROUP_ROWS))
-        widest = max(widest, groups)
-        rows.append((i, r.source, r.size, target, whole, p - whole if whole < max_copies else 0.0, groups))
-    schema = "source_no int, source string, source_size long, target double, whole int, part double, groups long"
-    plan = spark.createDataFrame(rows, schema)
-    plan = F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan
+    sources = materialize(sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-sources")
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    plan = (_targets_here if few else _targets_there)(sources, weight_of, max_copies)
+    p = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    whole = F.least(F.floor("p"), F.lit(max_copies)).cast("int")
+    plan = plan.withColumn("p", p).withColumn("whole", whole).withColumn("part", F.when(F.col("whole") < max_copies, F.col("p") - F.col("whole")).otherwise(0.0))
+    plan = plan.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_ROWS)).cast("long")).drop("p", "n")
+    widest = plan.agg(F.coalesce(F.max("groups"), F.lit(1))).first()[0]
+    plan = F.broadcast(plan) if few else materialize(plan, "mix-plan")
     rows_of = sizes.withColumnRenamed("source", "__source").join(plan, F.col("__source").eqNullSafe(F.col("source"))).drop("__source")
     even = (F.col("size") == 0) | (F.col("part") <= 0)
     done = rows_of.where(even).withColumn("copies", F.col("whole"))

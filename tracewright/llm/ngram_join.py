@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, apply_copies, as_bytes, batch_of, give_back, kept, lean, materialize, row_key
+from .common import Memo, apply_copies, as_bytes, batch_of, give_back, kept, lean, materialize, row_key, small
 from .components import components
 
 SIZE, PERCENT = 3, 90
@@ -39,8 +39,6 @@ SIZE, PERCENT = 3, 90
 BLOCK_TOKENS, LEAST = 150_000, 150
 #: Keys (8 bytes each) that are broadcast to pick the sets to compare; with more, the texts are joined.
 BROADCAST_KEYS = 4_000_000
-#: Rows of two longs that a join broadcasts; with more, it shuffles.
-BROADCAST_ROWS = 1_000_000
 HUBS = 4
 #: Blocks of more bytes than that make their worker give memory back.
 LARGE_BYTES = 400_000
@@ -229,15 +227,20 @@ def _sets_of(table: pa.Table) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _common_tokens(docs: DataFrame, size: int) -> DataFrame:
-    """token: those that OFTEN documents or more of some task have, over all of docs. Any set of tokens keeps the join exact; these would make strangers of one neighbourhood."""
+def _common_tokens(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted tokens that OFTEN documents or more of some task have, over all of docs; of more than BROADCAST_KEYS the most frequent.
+
+    Any set of tokens keeps the join exact; these would make strangers of one neighbourhood, the most frequent ones most of all.
+    """
 
     def often(sets: list[np.ndarray]) -> pa.RecordBatch:
         found = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         sets.clear()
         found.sort()
-        run = found[OFTEN - 1 :][found[OFTEN - 1 :] == found[: max(0, len(found) - OFTEN + 1)]]  # a token of OFTEN sets ends a run of that length
-        return pa.record_batch([pa.array(np.unique(run).view(np.int64))], names=["token"])
+        first = np.flatnonzero(np.diff(found, prepend=~found[:1]) != 0)
+        times = np.diff(np.append(first, len(found)))
+        many = times >= OFTEN
+        return pa.record_batch([pa.array(found[first[many]].view(np.int64)), pa.array(times[many])], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sets, held = kept("hashes", WordHashes), [], 0
@@ -250,14 +253,20 @@ def _common_tokens(docs: DataFrame, size: int) -> DataFrame:
                 held = 0
         yield often(sets)
 
-    return materialize(docs.select(as_bytes().alias("data")).mapInArrow(lean(run), "token long").distinct(), "common-tokens")
+    found = docs.select(as_bytes().alias("data")).mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = materialize(found.select("token", F.floor(8 * F.log2("n")).alias("level")), "common-tokens")
+    levels = sorted(((r["level"], r["count"]) for r in found.groupBy("level").count().collect()), reverse=True)
+    least, held = float("inf"), 0
+    for level, count in levels:
+        held += count
+        if held > BROADCAST_KEYS:
+            break
+        least = level
+    return np.sort(found.where(F.col("level") >= F.lit(least)).select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    tokens_ = _common_tokens(docs, size)
-    few = tokens_.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    found = np.sort(tokens_.toArrow().column(0).to_numpy().view(np.uint64)) if few else np.zeros(0, np.uint64)
-    common = docs.sparkSession.sparkContext.broadcast(found)
+    common = docs.sparkSession.sparkContext.broadcast(_common_tokens(docs, size))
     schema = pa.schema([("row", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signatures", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +356,7 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
     while True:
         tokens = active.groupBy("place").agg(F.sum("n").alias("all"), F.count("*").alias("m"))
         widest, count = tokens.agg(F.max("all"), F.sum("m")).first()
-        dealt = active.drop("block").join(_small(tokens.select("place", "all")), "place").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("all") / BLOCK_TOKENS)))
+        dealt = active.drop("block").join(small(tokens.select("place", "all")), "place").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("all") / BLOCK_TOKENS)))
         found = materialize(_joined_blocks(dealt.select("row", "place", "block", "tokens"), percent), "block-links")
         new = found.select("u", "v")
         edges = new if edges is None else edges.union(new)
@@ -355,7 +364,7 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
             break
         before = count
         hubs = found.where("hub").select(F.col("u").alias("row"))
-        active = sets.join(_small(hubs), "row", "left_semi")
+        active = sets.join(small(hubs), "row", "left_semi")
     rooted = components(edges, "large-stars")
     # Labels without the sets; few sets are outside the largest component of their place.
     labels = sets.select("row", "place", "n").join(rooted, F.col("row") == F.col("v"), "left").withColumn("label", F.coalesce("root", "row")).drop("v", "root")
@@ -364,22 +373,17 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
     largest = per.groupBy("place").agg(F.max(F.struct("m", "label")).alias("x")).select("place", F.col("x.label").alias("main"))
     whole = labels.groupBy("place").agg(F.sum("n").alias("all"))
     told = materialize(labels.join(largest, "place").join(whole, "place").withColumn("out", F.col("label") != F.col("main")).select("row", "label", "all", "out"), "told")
-    labelled = sets.join(_small(told), "row")
+    labelled = sets.join(small(told), "row")
     rest = labelled.where("out")
     asked = labels.join(told.where("out").select("row"), "row").groupBy("place").agg(F.sum("n").alias("asked"))
     blocks, cut = F.ceil(F.col("all") / BLOCK_TOKENS), F.ceil(F.col("asked") / BLOCK_TOKENS)
     columns = ["row", "place", "tokens", "label", "query", "block", "chunk"]
-    queries = rest.join(_small(asked), "place").withColumn("query", F.lit(True)).withColumn("chunk", F.pmod(F.xxhash64("row"), cut)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    members = labelled.join(_small(asked), "place").withColumn("query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("row"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
+    queries = rest.join(small(asked), "place").withColumn("query", F.lit(True)).withColumn("chunk", F.pmod(F.xxhash64("row"), cut)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    members = labelled.join(small(asked), "place").withColumn("query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("row"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
     crossed = materialize(_meetings(queries.select(columns).union(members.select(columns)), percent).distinct(), "crossed")
     return components(edges.union(crossed), "large-final")
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most that many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def similar_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, row, row_key: a row for each row of docs."""
     listed = _listed(docs, size, percent)
@@ -389,16 +393,16 @@ def similar_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
     # The rows that only repeat a class, and the parts that several share, are small beside all parts: broadcast if so, joined else.
     repeated = classes.where("copies > 1").select(F.col("set_key").alias("__set"), "rep")
     spare = materialize(listed.select("row", "set_key").join(repeated, F.col("set_key") == F.col("__set")).where("row != rep").select(F.col("row").alias("__row")), "spare")
-    parts = listed.join(_small(spare), F.col("row") == F.col("__row"), "left_anti").select("row", F.explode("signatures").alias("s"))
+    parts = listed.join(small(spare), F.col("row") == F.col("__row"), "left_anti").select("row", F.explode("signatures").alias("s"))
     shared = materialize(parts.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("m")).where("m > 1"), "shared-parts")
-    several = _small(shared.where("m > 2").select(F.col("s").alias("__s"), "first"))
+    several = small(shared.where("m > 2").select(F.col("s").alias("__s"), "first"))
     near = shared.where("m = 2").select(F.col("first").alias("v"), F.col("last").alias("u")).union(parts.join(several, F.col("s") == F.col("__s")).select(F.col("first").alias("v"), F.col("row").alias("u")))
     around = components(near, "neighbours")
     places = around.select(F.col("v").alias("row"), F.col("root").alias("place")).union(around.select(F.col("root").alias("row"), F.col("root").alias("place")).distinct())
     members = materialize(places.join(listed.select("row", "key", F.greatest("n_shingles", F.lit(LEAST)).alias("n")), "row"), "members")
     weight = members.groupBy("place").agg(F.sum("n").alias("all"))
     weighed = materialize(members.join(weight, "place").withColumn("large", F.col("all") > BLOCK_TOKENS).drop("all"), "weighed")
-    sets = materialize(_token_sets(docs, members, size).join(_small(weighed), "key").select("row", "place", "n", "tokens", "large"), "sets")
+    sets = materialize(_token_sets(docs, members, size).join(small(weighed), "key").select("row", "place", "n", "tokens", "large"), "sets")
     found = materialize(_joined_blocks(sets.where("not large").select("row", "place", F.lit(0).alias("block"), "tokens"), percent).select(F.col("u").alias("v"), F.col("v").alias("root")), "links")
     large = sets.where("large").drop("large")
     if not large.isEmpty():

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lean, materialize
+from .common import as_bytes, lean, materialize, small
 from .deep_shallow import sort
 
 LENGTH, GRAM = 100, 24
@@ -133,6 +133,7 @@ def whole_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """key of each document of at least length bytes whose text an earlier one has as a whole."""
     texts = _ordered(docs).where(F.length("data") >= length).select("key", "d", F.sha2("data", 256).alias("t"))
     first = texts.groupBy("t").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select(F.col("t").alias("__t"), "first")
+    first = small(materialize(first, "copied-texts"))
     return materialize(texts.join(first, F.col("t") == F.col("__t")).where("d > first").select("key").distinct(), "whole-copies")
 
 

@@ -8,9 +8,12 @@ one read, and each record is parsed and its digest verified.
 Files are reached through Arrow's filesystems, so the folder may be any URI that those know. A task that runs again
 writes another file; the index names only the files of the tasks that ended.
 
-Defined cases: a null html is an empty payload, a null URL an empty target; a null id comes after all others; rows equal
-in id, URL and payload are one capture, and each of them has the type of that capture; an empty table gives no
-archive; columns besides the three are not read.
+Payloads are carried by responses only; which rows revisit which is found on ids, URLs and digests. A payload that is on any
+number of pages moves once for each task that has it at most.
+
+Defined cases: a null html is an empty payload, a null URL an empty target; a null id comes after all others; of rows equal
+in id, URL and payload one is the response and the others revisit it; a very long payload is one record; an empty table gives
+no archive; columns besides the three are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, lean, materialize, shared_path
+from .common import as_bytes, batch_of, lean, materialize, shared_path, small
 
 #: Ranges with at most GAP bytes between become one read of at most READ bytes; SPAN bytes of a file go to one task.
 GAP, READ, SPAN = 64 << 10, 4 << 20, 16 << 20
+#: Tasks over which rows of one payload are dealt where the groups are too many to broadcast.
+SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1
 INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())])
@@ -47,14 +52,19 @@ def _clean(value: str) -> bytes:
     return value.replace("\r", "%0D").replace("\n", "%0A").encode("utf-8", "replace")
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool, digest: str) -> bytes:
-    """One record, not compressed. A revisit holds the HTTP header only, with the length of the full payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if revisit else http + payload
+def record_id(page_id: int | None, url: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{url}/{digest}')}>"
+
+
+def record(page_id: int | None, url: str, payload: bytes | None, length: int, digest: str, refers_to: tuple[int | None, str] | None = None) -> bytes:
+    """One record, not compressed. A revisit (payload null) holds the HTTP header only, with the length of the full payload, and names the response, of a page and its URL."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
+    block = http + (payload or b"")
+    own = f"<urn:uuid:{uuid.uuid4()}>" if refers_to else record_id(page_id, url, digest)
     head = [
         b"WARC/1.1",
-        b"WARC-Type: " + (b"revisit" if revisit else b"response"),
-        b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{url}/{digest}")).encode(),
+        b"WARC-Type: " + (b"revisit" if refers_to else b"response"),
+        b"WARC-Record-ID: " + own.encode(),
         b"WARC-Date: " + DATE.encode(),
         b"WARC-Target-URI: " + _clean(url),
         b"WARC-Payload-Digest: sha1:" + digest.encode(),
@@ -63,10 +73,13 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
     ]
     if page_id is not None:
         head.append(b"X-Page-Id: %d" % page_id)
-    if revisit:
+    if refers_to:
         head.append(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        if refers_to is not None:
-            head.append(b"X-Refers-To-Page-Id: %d" % refers_to)
+        head.append(b"WARC-Refers-To: " + record_id(*refers_to, digest).encode())
+        head.append(b"WARC-Refers-To-Target-URI: " + _clean(refers_to[1]))
+        head.append(b"WARC-Refers-To-Date: " + DATE.encode())
+        if refers_to[0] is not None:
+            head.append(b"X-Refers-To-Page-Id: %d" % refers_to[0])
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -85,17 +98,40 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _typed(source: DataFrame, least_bytes: int) -> DataFrame:
+    """page_id, url, payload (null for revisits), n, sha1, revisit, first_id, first_url of source (page_id, url, payload): a row for each row."""
+    hashed = source.select("page_id", "url", "payload", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("k"))
+    captures = hashed.where(F.col("n") >= least_bytes).groupBy("k", "page_id", "url").agg(F.count("*").alias("times"))
+    # Nulls first would make a null id the smallest.
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "times"))
+    groups = captures.groupBy("k").agg(F.sum("times").alias("rows"), first.alias("first")).where("rows > 1")
+    groups = materialize(groups.select(F.col("k").alias("__k"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.times").alias("times")), "payload-groups")
+    near = small(groups)
+    asked = F.col("n") >= least_bytes
+    if near is groups:  # a hot payload's rows are dealt over SALTS tasks
+        salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        known = hashed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        typed = known.join(salted, (F.col("k") == F.col("__k")) & (F.col("salt") == F.col("__salt")) & asked, "left").drop("salt", "__salt")
+    else:
+        typed = hashed.join(near, (F.col("k") == F.col("__k")) & asked, "left")
+    is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("url") == F.col("first_url"))
+    columns = ["page_id", "url", "payload", "n", "sha1", "revisit", "first_id", "first_url"]
+    again = F.col("__k").isNotNull() & ~is_first
+    typed = typed.withColumn("payload", F.when(~again, F.col("payload"))).withColumn("revisit", again)
+    if groups.where("times > 1").isEmpty():
+        return typed.select(columns)
+    # Of rows equal in all three, one is the response; the others are told by their number and carry no payload.
+    same = F.coalesce(~again & (F.col("times") > 1), F.lit(False))
+    one = typed.where(same).groupBy("k", "page_id", "url").agg(F.first("payload").alias("payload"), *[F.first(c).alias(c) for c in ("n", "sha1", "first_id", "first_url", "times")])
+    one = materialize(one.withColumn("revisit", F.lit(False)), "one-of-equals")
+    more = one.withColumn("payload", F.lit(None).cast("binary")).withColumn("revisit", F.lit(True)).withColumn("nth", F.explode(F.sequence(F.lit(2).cast("long"), F.col("times"))))
+    return typed.where(~same).select(columns).union(one.select(columns)).union(more.select(columns))
+
+
 def write(pages: DataFrame, folder: str, *, least_bytes: int = 0, id_column: str = "page_id") -> DataFrame:
     """Writes a record for each row of pages (id_column, url, html) into archives in folder; returns the index, itself kept in the shared folder."""
     source = pages.select(F.col(id_column).cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), as_bytes("html").alias("payload"))
-    key = F.sha2("payload", 256)
-    # Nulls first would make a null id the smallest.
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url"))
-    groups = source.select("page_id", "url", key.alias("k"), F.length("payload").alias("n")).where(F.col("n") >= least_bytes).groupBy("k").agg(F.count("*").alias("rows"), first.alias("first")).where("rows > 1").select(F.col("k").alias("__k"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    groups = materialize(groups, "payload-groups")
-    typed = source.withColumn("k", key).join(groups, (F.col("k") == F.col("__k")) & (F.length("payload") >= least_bytes), "left")
-    revisit = F.col("__k").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("url") == F.col("first_url")))
-    typed = typed.select("page_id", "url", "payload", revisit.alias("revisit"), "first_id")
+    typed = _typed(source, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, path = _filesystem(folder)
@@ -103,12 +139,12 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0, id_column: str
         out, offset = None, 0
         for batch in batches:
             rows: list[list] = [[] for _ in INDEX]
-            for page_id, url, payload, again, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, n, sha1, again, first_id, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     filesystem.create_dir(path, recursive=True)
                     out = filesystem.open_output_stream(name, compression=None)
-                digest = digest_of(payload)
-                member = gzip.compress(record(page_id, url, payload, first_id, again, digest), LEVEL, mtime=0)
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                member = gzip.compress(record(page_id, url, payload, n, digest, (first_id, first_url) if again else None), LEVEL, mtime=0)
                 out.write(member)
                 for column, value in zip(rows, (name, offset, len(member), url, digest, page_id, "revisit" if again else "response"), strict=True):
                     column.append(value)
