@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_suppression_keeps_the_heaviest(spark):
     df = spark.createDataFrame([(1, "p", 0.0, 0.0, 10.0, 10.0, 5), (2, "p", 1.0, 1.0, 9.0, 9.0, 4), (3, "p", 50.0, 0.0, 60.0, 10.0, 1)], "id long, page string, x0 double, y0 double, x1 double, y1 double, w int")
-    assert sorted(r["id"] for r in spatial.suppress(df, "page", "w", 0.5).collect()) == [1, 3]
+    assert sorted(r["id"] for r in spatial.suppress(df, weight="w").collect()) == [1, 3]
 
 
 def test_running_mean_clusters(spark):
