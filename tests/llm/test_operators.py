@@ -434,8 +434,12 @@ def test_pitman_yor(docs, rows, empty):
             if g[0]:
                 totals[0] += g[4]
                 totals[1] += g[5]
-    assert totals[1] > 1.02 * totals[0]  # few words, often seen: the base score is nearly the best
+    assert totals[1] > totals[0]  # words follow words here
+    again = by_id(pitman_yor.score(docs.repartition(7)), "score")
+    assert all(abs(x - y) < 0.05 * (1 + abs(x)) for i, own in got.items() for x, y in zip(sorted(g[5] for g in own), sorted(g[0] for g in again[i]), strict=True))
     assert pitman_yor.score(empty).count() == 0
+    nothing = pitman_yor.score(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")).collect()
+    assert nothing and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in nothing)
 
 
 def test_pitman_yor_beats_the_base_score_where_words_are_many(spark):
@@ -445,10 +449,84 @@ def test_pitman_yor_beats_the_base_score_where_words_are_many(spark):
     assert got[0] > 0.9 * got[1]
 
 
-def test_pitman_yor_light_words_are_joined(docs, monkeypatch):
-    want = sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in pitman_yor.score(docs).collect())
-    monkeypatch.setattr(pitman_yor, "HEAVY", 5)
-    assert sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in pitman_yor.score(docs).collect()) == want
+def test_pitman_yor_learns_what_follows_what(spark):
+    """Texts that go round in a ring of words, and texts in two copies among others in one."""
+    rng = random.Random(6)
+    ring = [f"r{i}" for i in range(40)]
+    made = [(i, " ".join(ring[(k + j) % 40] for j in range(60))) for i in range(120) for k in [rng.randrange(40)]]
+    own = [" ".join(f"x{rng.randrange(3000)}" for _ in range(80)) for _ in range(60)]
+    made += [(1000 + i, own[i % 60] if i < 80 else " ".join(f"x{rng.randrange(3000)}" for _ in range(80))) for i in range(140)]
+    got = {r["doc_id"]: r for r in pitman_yor.score(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    ringed = [r for i, r in got.items() if i < 1000 and r["held_out"]]
+    assert all(r["score"] > 0.35 * r["base_score"] for r in ringed) and len(ringed) > 9
+    twice = {1000 + i for i in range(80) if i % 60 < 20}
+    trained = lambda i: not got[i]["held_out"]
+    both = [got[i]["score"] for i in twice if trained(i) and all(trained(j) for j in twice if (j - i) % 60 == 0)]
+    once = [r["score"] for i, r in got.items() if i >= 1000 and i not in twice and trained(i)]
+    assert len(both) > 9 and sorted(both)[len(both) // 10] > sorted(once)[-len(once) // 10]
+
+
+@pytest.mark.parametrize("heavy", [1 << 19, 40])
+def test_pitman_yor_against_restaurants_in_dictionaries(docs, rows, monkeypatch, heavy):
+    """Pairs counted, and scores added up, in plain Python from the same draws; probabilities after each context sum to one."""
+    monkeypatch.setattr(pitman_yor, "HEAVY", heavy)
+    monkeypatch.setattr(pitman_yor, "BATCH_TOKENS", 3000)
+    monkeypatch.setattr(pitman_yor, "RANGE_TOKENS", 2500)
+    seen = {}
+    fit_pairs, fit = pitman_yor.fit_pairs, pitman_yor.fit
+    monkeypatch.setattr(pitman_yor, "fit_pairs", lambda ranges, *a: seen.setdefault("pairs", (ranges, fit_pairs(ranges, *a)))[1])
+    monkeypatch.setattr(pitman_yor, "fit", lambda *a, **k: seen.setdefault("fit", fit(*a, **k)))
+    got = by_id(pitman_yor.score(docs), "score")
+    ranges, (m, samples) = seen["pairs"]
+    model, dishes, least = seen["fit"]
+    log_p = {r["hash"]: (r["log_p"], r["n"]) for r in dishes.collect()}
+    signed = lambda w: int(np.uint64(pitman_yor._hash(w)).view(np.int64))
+    frequent = sorted((h for h, (_, n) in log_p.items() if n >= least), key=lambda h: h % 2**64)
+    place = {h: i for i, h in enumerate(frequent)}
+    K = len(frequent)
+    assert K == m.pairs.words and (K <= heavy)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    ids = lambda t: [K + 1, *[place.get(signed(w), K) for w in tokens(t)]]
+    counts, contexts = Counter(), Counter()
+    for r in rows:
+        if not held(r[0]):
+            own = ids(r[1])
+            counts.update(zip(own, own[1:], strict=False))
+            contexts.update(own[:-1])
+    found, tables = {}, [Counter() for _ in samples]
+    for r in ranges.collect():
+        codes, c = pitman_yor.from_gaps(r["codes"], r["n"]), pitman_yor.unpacked(r["counts"], r["n"], 4).astype(np.int64)
+        u, w = m.pairs.of(codes)
+        found |= {(int(a), int(b)): int(k) for a, b, k in zip(u, w, c, strict=True) if k}
+        for t, (sweep, before, above, *_) in zip(tables, samples, strict=True):
+            drawn = pitman_yor._draw(m, u[c > 0], w[c > 0], c[c > 0], before, above, np.random.default_rng([pitman_yor.SEED, sweep, r["part"], 7]), pitman_yor.stirling(m.d))
+            t.update({(int(a), int(b)): int(k) for a, b, k in zip(u[c > 0], w[c > 0], drawn, strict=True)})
+    assert found == dict(counts) and all(m.customers[u] == n for u, n in contexts.items())
+
+    def after(u, w):
+        return sum((counts[u, w] - m.d * t[u, w] + (1 + m.d * per[u]) * parent[w]) / (1 + contexts[u]) for t, (*_, per, parent) in zip(tables, samples, strict=True)) / len(samples)
+
+    for u in (K + 1, 0, K, K // 2):
+        assert math.isclose(sum(after(u, w) for w in range(K + 1)), 1, rel_tol=1e-6)
+    mass = 1 - sum(10 ** log_p[h][0] for h in frequent)
+    for r in rows:
+        own = ids(r[1])
+        want = sum(math.log10(after(u, w)) for u, w in zip(own, own[1:], strict=False))
+        want += sum(log_p.get(signed(w), (model.log_unknown,))[0] - math.log10(mass) for w in tokens(r[1]) if signed(w) not in place)
+        assert all(abs(g[0] - want) < 0.001 * len(own) for g in got[r[0]])
+
+
+def test_many_customers_sit_as_the_restaurant_says():
+    """Metropolis steps against the Stirling numbers, for as many customers as these are known for."""
+    d, rng = 0.6, np.random.default_rng(3)
+    for new in (0.05, 3.0, 40.0):
+        log_s = pitman_yor.stirling(d, 200)[200, 1:] + np.arange(1, 201) * math.log(new)
+        want = np.exp(log_s - log_s.max())
+        want /= want.sum()
+        drawn = pitman_yor._metropolis(np.full(4000, 200), np.full(4000, math.log(new)), d, rng)
+        mean, spread = (want * np.arange(1, 201)).sum(), math.sqrt((want * (np.arange(1, 201) - (want * np.arange(1, 201)).sum()) ** 2).sum())
+        assert abs(drawn.mean() - mean) < 0.2 * spread + 0.02 and abs(drawn.std() - spread) < 0.25 * spread + 0.05
 
 
 def test_pitman_yor_sums_to_one(docs):
@@ -769,3 +847,31 @@ def test_pipeline_against_plain_python(spark, rows, tmp_path):
     for own in sequences.values():
         ends = np.cumsum([n for _, n in sorted(own)]).tolist()
         assert [at for at, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= packing.LENGTH
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_targets_of_any_number_of_sources(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
+    rng = random.Random(limit * 0 + 5)
+    rows = [(i, "w " * rng.randrange(0, 40), rng.choice([None, "", "é", "z", "\U0001f600", "￿", *[f"s{k}" for k in range(40)]])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    targets = dict(zip(names, mixing.water_fill([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    got = mixing.mix(df).collect()
+    assert len(got) == 600 and all(r["target"] == targets[r["source"]] and r["source_size"] == sizes[r["source"]] for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - targets[s]) <= 40 for s in names)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 3])
+def test_ngram_join_with_some_or_no_common_tokens(docs, rows, monkeypatch, limit):
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(ngram_join, "OFTEN", 2)
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.similar_components(docs).select("doc_id", "component_id").collect()}
+    assert got == {(i, c) for i, _, c in brute_components(rows, 3, 90)}
