@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -212,6 +213,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
@@ -229,19 +235,22 @@ def _cubic(p: list[Column], t: Column) -> Column:
 def cubic_box(points: Column) -> Box:
     """Exact box of a cubic curve of four points: its ends and where its slope is level, at t within (0, 1)."""
 
-    def reach(axis: str) -> tuple[Column, Column]:
+    def reach(axis: str) -> Column:
         p = [F.get(points, i)[axis] for i in range(4)]
-        a, b, c = -p[0] + 3 * p[1] - 3 * p[2] + p[3], 2 * (p[0] - 2 * p[1] + p[2]), p[1] - p[0]
-        under = b * b - 4 * a * c
-        root = F.sqrt(F.greatest(under, F.lit(0.0)))
-        straight = F.abs(a) < 1e-12
-        bent = ~straight & (under >= 0)
-        ts = [F.when(straight & (F.abs(b) >= 1e-12), -c / F.nullif(b, F.lit(0.0))), F.when(bent, (-b + root) / F.nullif(2 * a, F.lit(0.0))), F.when(bent, (-b - root) / F.nullif(2 * a, F.lit(0.0)))]
-        values = [p[0], p[3], *[F.when((t > 0) & (t < 1), _cubic(p, t)) for t in ts]]
-        return F.least(*values), F.greatest(*values)
+        slope = F.struct((-p[0] + 3 * p[1] - 3 * p[2] + p[3]).alias("a"), (2 * (p[0] - 2 * p[1] + p[2])).alias("b"), (p[1] - p[0]).alias("c"))
+
+        def level(k: Column) -> Column:
+            a, b, c = k["a"], k["b"], k["c"]
+            straight = F.abs(a) < 1e-12
+            root = F.when(~straight & (b * b - 4 * a * c >= 0), F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0))))
+            over = F.nullif(2 * a, F.lit(0.0))
+            return F.array(F.when(straight & (F.abs(b) >= 1e-12), -c / F.nullif(b, F.lit(0.0))), (-b + root) / over, (-b - root) / over)
 
-    (x0, x1), (y0, y1) = reach("x"), reach("y")
-    return Box(x0, y0, x1, y1)
+        inner = F.transform(F.filter(let(slope, level), lambda t: (t > 0) & (t < 1)), lambda t: _cubic(p, t))
+        return F.concat(F.array(p[0], p[3]), inner)
+
+    x, y = reach("x"), reach("y")
+    return Box(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y))
 
 
 def shape_box(kind: Column, points: Column) -> Box:
@@ -296,24 +305,40 @@ def _mean(points: Column, axis: str) -> Column:
     return _total(F.transform(points, lambda p: p[axis])) / F.size(points)
 
 
+def _means(source: Column, target: Column) -> Column:
+    return F.struct(_mean(source, "x").alias("sx"), _mean(source, "y").alias("sy"), _mean(target, "x").alias("tx"), _mean(target, "y").alias("ty"))
+
+
+def _farthest(source: Column, target: Column, dx: Column, dy: Column) -> Column:
+    return F.array_max(F.zip_with(source, target, lambda s, t: distance(point(s["x"] + dx, s["y"] + dy), t)))
+
+
 def fixed_fit(source: Column, target: Column, *, degrees: Column, scale: Column, mirrored: Column) -> Column:
     """struct(dx, dy, error): the mean shift onto target after that turn and scale, and the farthest point left."""
+
+    def fitted(turned: Column) -> Column:
+        shift = F.struct((_mean(target, "x") - _mean(turned, "x")).alias("dx"), (_mean(target, "y") - _mean(turned, "y")).alias("dy"))
+        return let(shift, lambda d: F.struct(d["dx"].alias("dx"), d["dy"].alias("dy"), _farthest(turned, target, d["dx"], d["dy"]).alias("error")))
+
     turned = transformed(source, degrees=degrees, scale=scale, dx=F.lit(0.0), dy=F.lit(0.0), mirrored=mirrored)
-    dx, dy = _mean(target, "x") - _mean(turned, "x"), _mean(target, "y") - _mean(turned, "y")
-    error = F.array_max(F.zip_with(turned, target, lambda s, t: distance(point(s["x"] + dx, s["y"] + dy), t)))
-    return F.when(F.size(source) == F.size(target), F.struct(dx.alias("dx"), dy.alias("dy"), error.alias("error")))
+    return F.when(F.size(source) == F.size(target), let(turned, fitted))
 
 
 def rigid_fit(source: Column, target: Column) -> Column:
     """struct(angle, dx, dy, error): the turn and shift with the least squares, and the farthest point left."""
-    sx, sy, tx, ty = _mean(source, "x"), _mean(source, "y"), _mean(target, "x"), _mean(target, "y")
-    dot = _total(F.zip_with(source, target, lambda s, t: (s["x"] - sx) * (t["x"] - tx) + (s["y"] - sy) * (t["y"] - ty)))
-    cross = _total(F.zip_with(source, target, lambda s, t: (s["x"] - sx) * (t["y"] - ty) - (s["y"] - sy) * (t["x"] - tx)))
-    angle = F.atan2(cross, dot)
-    dx, dy = tx - (F.cos(angle) * sx - F.sin(angle) * sy), ty - (F.sin(angle) * sx + F.cos(angle) * sy)
-    moved = transformed(source, degrees=F.degrees(angle), scale=F.lit(1.0), dx=dx, dy=dy, mirrored=F.lit(False))
-    error = F.array_max(F.zip_with(moved, target, distance))
-    return F.when(F.size(source) == F.size(target), F.struct(angle.alias("angle"), dx.alias("dx"), dy.alias("dy"), error.alias("error")))
+
+    def fitted(m: Column) -> Column:
+        dot = _total(F.zip_with(source, target, lambda s, t: (s["x"] - m["sx"]) * (t["x"] - m["tx"]) + (s["y"] - m["sy"]) * (t["y"] - m["ty"])))
+        cross = _total(F.zip_with(source, target, lambda s, t: (s["x"] - m["sx"]) * (t["y"] - m["ty"]) - (s["y"] - m["sy"]) * (t["x"] - m["tx"])))
+
+        def placed(angle: Column) -> Column:
+            dx, dy = m["tx"] - (F.cos(angle) * m["sx"] - F.sin(angle) * m["sy"]), m["ty"] - (F.sin(angle) * m["sx"] + F.cos(angle) * m["sy"])
+            moved = transformed(source, degrees=F.degrees(angle), scale=F.lit(1.0), dx=dx, dy=dy, mirrored=F.lit(False))
+            return F.struct(angle.alias("angle"), dx.alias("dx"), dy.alias("dy"), F.array_max(F.zip_with(moved, target, distance)).alias("error"))
+
+        return let(F.atan2(cross, dot), placed)
+
+    return F.when(F.size(source) == F.size(target), let(_means(source, target), fitted))
 
 
 def extended(points: Column, by: float = config.FRAME_EXTENSION) -> Column:
@@ -367,46 +392,60 @@ def ring_length(ring: Column) -> Column:
 def without_repeats(points: Column, tolerance: float = config.CLOSED_EDGE) -> Column:
     """Points closer than the tolerance to the one kept before left out, and the last if it is that close to the first."""
     kept = F.aggregate(points, F.array().cast("array<struct<x:double,y:double>>"), lambda acc, p: F.when((F.size(acc) > 0) & (distance(F.coalesce(F.try_element_at(acc, F.lit(-1)), p), p) <= tolerance), acc).otherwise(F.array_append(acc, point(p["x"], p["y"]))))
-    n = F.size(kept)
-    return F.when((n > 1) & (distance(F.get(kept, 0), F.get(kept, n - 1)) <= tolerance), F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(kept)
+    last = lambda k: F.get(k, F.size(k) - 1)
+    return let(kept, lambda k: F.when((F.size(k) > 1) & (distance(F.get(k, 0), last(k)) <= tolerance), F.slice(k, F.lit(1), F.greatest(F.size(k) - 1, F.lit(0)))).otherwise(k))
+
+
+def _measures(ring: Column) -> Column:
+    b = box_of_points(ring)
+    return F.struct(ring_area(ring).alias("area"), ring_length(ring).alias("length"), (b.x1 - b.x0).alias("w"), (b.y1 - b.y0).alias("h"))
 
 
 def looks_like_circle(ring: Column) -> Column:
-    a, length, b = ring_area(ring), ring_length(ring), box_of_points(ring)
-    w, h = b.x1 - b.x0, b.y1 - b.y0
-    round_ = 4 * math.pi * a / F.nullif(length * length, F.lit(0.0)) >= config.CIRCULARITY
-    return F.coalesce((a >= config.REGION_AREA) & (w > 0) & (h > 0) & (F.abs(w - h) / F.nullif(F.greatest(w, h), F.lit(0.0)) <= config.CIRCLE_ASPECT) & round_, F.lit(False))
+    """Round enough for its outline, and about as wide as high."""
+
+    def judged(m: Column) -> Column:
+        even = F.abs(m["w"] - m["h"]) / F.nullif(F.greatest(m["w"], m["h"]), F.lit(0.0)) <= config.CIRCLE_ASPECT
+        return (m["area"] >= config.REGION_AREA) & (m["w"] > 0) & (m["h"] > 0) & even & (4 * math.pi * m["area"] / F.nullif(m["length"] * m["length"], F.lit(0.0)) >= config.CIRCULARITY)
+
+    return F.coalesce(let(_measures(ring), judged), F.lit(False))
 
 
 def looks_like_box(ring: Column, axis: float = config.CLOSED_EDGE) -> Column:
     """An axis-parallel rectangle, or a ring that nearly fills its box with long axis-parallel edges."""
-    few, b, a = without_repeats(ring), box_of_points(ring), ring_area(ring)
-    w, h = b.x1 - b.x0, b.y1 - b.y0
     across = lambda e: (F.abs(e["p"]["x"] - e["q"]["x"]), F.abs(e["p"]["y"] - e["q"]["y"]))
-    straight = F.forall(_steps(few), lambda e: (across(e)[0] <= axis) | (across(e)[1] <= axis))
-    rectangle = (F.size(few) == 4) & straight & (w * h > 0) & (F.abs(a - w * h) <= F.greatest(w * h * 0.01, F.lit(config.REGION_AREA)))
+    square = let(without_repeats(ring), lambda few: (F.size(few) == 4) & F.forall(_steps(few), lambda e: (across(e)[0] <= axis) | (across(e)[1] <= axis)))
     rows = _total(F.transform(_steps(ring), lambda e: F.when(across(e)[1] <= axis, across(e)[0]).otherwise(0.0)))
     columns = _total(F.transform(_steps(ring), lambda e: F.when(across(e)[0] <= axis, across(e)[1]).otherwise(0.0)))
-    filled = (w > 0) & (h > 0) & (a / F.nullif(w * h, F.lit(0.0)) >= config.BOX_FILL) & (rows >= w * config.BOX_SPANS) & (columns >= h * config.BOX_SPANS)
-    return F.coalesce(rectangle | filled, F.lit(False))
+
+    def judged(m: Column) -> Column:
+        whole = m["w"] * m["h"]
+        rectangle = square & (whole > 0) & (F.abs(m["area"] - whole) <= F.greatest(whole * 0.01, F.lit(config.REGION_AREA)))
+        filled = (whole > 0) & (m["area"] / F.nullif(whole, F.lit(0.0)) >= config.BOX_FILL) & (rows >= m["w"] * config.BOX_SPANS) & (columns >= m["h"] * config.BOX_SPANS)
+        return rectangle | filled
+
+    return F.coalesce(let(_measures(ring), judged), F.lit(False))
 
 
 def arrow_direction(ring: Column) -> Column:
     """Where a filled triangle points: left, right, up or down; null for what is no slim or flat isosceles triangle along an axis."""
-    c = without_repeats(ring, config.PIN_POINT)
-    b = box_of_points(c)
-    w, h = b.x1 - b.x0, b.y1 - b.y0
 
-    def apex(i: int) -> Column:
+    def apex(c: Column, i: int) -> Column:
         p, q, r = F.get(c, i), F.get(c, 0 if i else 1), F.get(c, 1 if i == 2 else 2)
         left, right = distance(p, q), distance(p, r)
-        mean = (left + right) / 2
         dx, dy = p["x"] - (q["x"] + r["x"]) / 2, p["y"] - (q["y"] + r["y"]) / 2
-        return F.struct((F.abs(left - right) / F.nullif(mean, F.lit(0.0))).alias("error"), F.lit(i).alias("i"), mean.alias("leg"), distance(q, r).alias("base"), dx.alias("dx"), dy.alias("dy"))
-
-    best = F.array_min(F.filter(F.array(apex(0), apex(1), apex(2)), lambda s: s["error"].isNotNull()))
-    far, near = F.greatest(F.abs(best["dx"]), F.abs(best["dy"])), F.least(F.abs(best["dx"]), F.abs(best["dy"]))
-    ok = (F.size(c) == 3) & (ring_area(c) >= config.ARROW_AREA) & (F.least(w, h) >= config.PIN_SIZE) & (F.greatest(w, h) <= config.ARROW_SIZE) & (best["error"] <= config.ISOSCELES)
-    ok &= (F.abs(best["leg"] - best["base"]) / F.greatest(best["leg"], best["base"], F.lit(1e-9)) > config.EQUILATERAL) & (far > 1e-9) & (near / F.nullif(far, F.lit(0.0)) <= config.DIRECTION_AXIS)
-    across = F.when(best["dx"] > 0, "right").otherwise("left")
-    return F.when(ok, F.when(F.abs(best["dx"]) > F.abs(best["dy"]), across).otherwise(F.when(best["dy"] > 0, "down").otherwise("up")))
+        return F.struct((2 * F.abs(left - right) / F.nullif(left + right, F.lit(0.0))).alias("error"), F.lit(i).alias("i"), ((left + right) / 2).alias("leg"), distance(q, r).alias("base"), dx.alias("dx"), dy.alias("dy"))
+
+    def pointing(best: Column) -> Column:
+        far, near = F.greatest(F.abs(best["dx"]), F.abs(best["dy"])), F.least(F.abs(best["dx"]), F.abs(best["dy"]))
+        uneven = F.abs(best["leg"] - best["base"]) / F.greatest(best["leg"], best["base"], F.lit(1e-9)) > config.EQUILATERAL
+        ok = (best["error"] <= config.ISOSCELES) & uneven & (far > 1e-9) & (near / F.nullif(far, F.lit(0.0)) <= config.DIRECTION_AXIS)
+        across = F.when(best["dx"] > 0, "right").otherwise("left")
+        return F.when(ok, F.when(F.abs(best["dx"]) > F.abs(best["dy"]), across).otherwise(F.when(best["dy"] > 0, "down").otherwise("up")))
+
+    def judged(c: Column) -> Column:
+        fits = let(_measures(c), lambda m: (m["area"] >= config.ARROW_AREA) & (F.least(m["w"], m["h"]) >= config.PIN_SIZE) & (F.greatest(m["w"], m["h"]) <= config.ARROW_SIZE))
+        best = F.array_min(F.filter(F.array(apex(c, 0), apex(c, 1), apex(c, 2)), lambda s: s["error"].isNotNull()))
+        return F.when((F.size(c) == 3) & fits, let(best, pointing))
+
+    return let(without_repeats(ring, config.PIN_POINT), judged)

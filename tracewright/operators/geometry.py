@@ -49,7 +49,7 @@ def _per_page(df: DataFrame, keys: Sequence[str], ddl: str, run: Callable[[pa.Ta
 def lines(vectors: DataFrame, keys: Sequence[str] = KEYS, which: Column | None = None) -> DataFrame:
     """(keys, id, type, dashes, path_index, line): the points of each vector's line, curves sampled, rectangles closed."""
     rows = vectors if which is None else vectors.where(which)
-    return rows.select(*keys, "id", "type", "dashes", "path_index", B.polyline(F.col("type"), F.col("points")).alias("line")).where(F.size("line") >= 2)
+    return rows.select(*keys, *[c for c in ("id", "type", "dashes", "path_index") if c not in keys], B.polyline(F.col("type"), F.col("points")).alias("line")).where(F.size("line") >= 2)
 
 
 def _segments(table: pa.Table) -> tuple[list[K.Segment], list[int]]:
