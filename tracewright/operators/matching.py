@@ -62,9 +62,8 @@ def transform_bins(scale: Column, dx: Column, dy: Column, shift: float) -> list[
 def agreeing(a: DataFrame, b: DataFrame, by: Sequence[str], shift: float) -> DataFrame:
     """Pairs of rows (degrees, mirrored, scale, dx, dy and by) whose transforms agree within the steps: a's columns and b_<column>, by bins and their neighbours."""
     left = a.select("*", *transform_bins(F.col("scale"), F.col("dx"), F.col("dy"), shift))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     for c in "sxy":
-        left = left.withColumn(f"__{c}", F.explode(F.transform(near, lambda d, c=c: F.col(c) + d)))
+        left = left.withColumn(f"__{c}", F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
     equal = [*by, "degrees", "mirrored"]
     right = b.select(*equal, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in equal], *[v.alias(f"__{c}") for v, c in zip(transform_bins(F.col("scale"), F.col("dx"), F.col("dy"), shift), "sxy", strict=True)])
     joined = left.join(right, [*equal, "__s", "__x", "__y"]).drop("__s", "__x", "__y", "s", "x", "y")
