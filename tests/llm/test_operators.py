@@ -517,8 +517,15 @@ def test_pitman_yor_against_restaurants_in_dictionaries(docs, rows, monkeypatch,
         assert all(abs(g[0] - want) < 0.001 * len(own) for g in got[r[0]])
 
 
-def test_many_customers_sit_as_the_restaurant_says():
-    """Metropolis steps against the Stirling numbers, for as many customers as these are known for."""
+def test_log_gamma():
+    x = np.concatenate([np.linspace(1e-9, 20, 500), [1e3, 1e7, 1e12]])
+    want = np.array([math.lgamma(v) for v in x])
+    assert np.all(np.abs(pitman_yor.log_gamma(x) - want) < 1e-9 * (1 + np.abs(want)))
+
+
+def test_many_customers_sit_as_the_restaurant_says(monkeypatch):
+    """Metropolis steps, many of them, against the Stirling numbers, for as many customers as these are known for."""
+    monkeypatch.setattr(pitman_yor, "METROPOLIS", ((math.inf, 60),))
     d, rng = 0.6, np.random.default_rng(3)
     for new in (0.05, 3.0, 40.0):
         log_s = pitman_yor.stirling(d, 200)[200, 1:] + np.arange(1, 201) * math.log(new)
