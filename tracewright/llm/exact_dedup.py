@@ -8,7 +8,7 @@ twin is likely; the lists and keys do the rest.
 
 Defined cases: a null text is empty, and all texts without a character other than white space are copies of each other;
 a null doc_id comes after all others; of rows equal in everything, one stays; an empty table gives an empty result;
-columns besides doc_id and text are not read.
+a very long text is a long list of chunks; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ Rows are dealt into small groups by a hash; each group leaves at most one fracti
 64 times wider, as a reduction tree, up to one for each source.
 
 Defined cases: a null text has size 0 and takes 0 words; a null source is a source of its own, last in order; rows that
-repeat count each by itself; an empty table gives an empty result; columns besides doc_id, text and source are not read.
+repeat count each by itself; an empty table gives an empty result; a very long text is one row of a large size; columns besides doc_id, text and source are not read, whatever their names, and pass through mixed_documents().
 """
 
 from __future__ import annotations

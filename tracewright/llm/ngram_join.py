@@ -16,7 +16,7 @@ Tokens are 64-bit hashes of n-grams, sets meet by 128-bit hashes.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is its own component; with fewer
 words than an n-gram the whole sequence is its one token; rows that repeat are one class; a null doc_id comes after all others;
-an empty table gives an empty result; columns besides doc_id and text are not read.
+an empty table gives an empty result; a very long text is one set; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ of one pattern are counted, not listed. Patterns then meet the pieces by rank am
 counted in each task and shifted by the counts of earlier tasks, so no task sees all the pieces of a length.
 
 Defined cases: a null text is empty and yields the end id alone; rows that repeat are packed each by itself; an empty
-table gives an empty result; columns besides doc_id and text are not read.
+table gives an empty result; a very long text is cut into as many pieces as it needs; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

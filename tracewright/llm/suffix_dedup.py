@@ -11,7 +11,7 @@ Texts equal as a whole are pre-aggregated: all but the first of them go, for all
 
 Defined cases: a null text is empty; a text shorter than LENGTH stays; a null doc_id comes after all others; of rows that
 share a doc_id the order is by a hash of the text, and rows equal in both are one document with one result; an empty
-table gives an empty result; columns besides doc_id and text are not read.
+table gives an empty result; a very long text is one document, its anchors spread over tasks; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,10 +4,12 @@ The vocabulary is one of pieces and scores, read as a unigram model. An Aho-Cora
 at each character, longest first; the search carries the best score and its number of pieces. Rules of the unigram
 tokenizer: a later candidate wins only if it is strictly better, so of equal ones the piece that starts first stays; a
 character without a piece of its own costs the least score less 10; an unknown character counts as its UTF-8 bytes. Spaces become
-the mark U+2581 and a text gets one in front; pieces never cross a mark, so words are counted one by one and remembered.
+the mark U+2581 and a text gets one in front. Texts are split before each mark, and words are counted one by one and remembered:
+a run of marks is not searched as a whole. All pieces of the file are pieces here, control, byte and unused ones too.
 
-Defined cases: a null or empty text has no tokens; rows that repeat are counted each; an empty table gives an empty
-result; columns besides doc_id and text are not read.
+Defined cases: a null or empty text has no tokens; a very long text is counted whole, a long word is searched and not
+remembered; rows that repeat are counted each; an empty table gives an empty
+result; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
