@@ -523,15 +523,14 @@ def test_log_gamma():
     assert np.all(np.abs(pitman_yor.log_gamma(x) - want) < 1e-9 * (1 + np.abs(want)))
 
 
-def test_many_customers_sit_as_the_restaurant_says(monkeypatch):
+def test_many_customers_sit_as_the_restaurant_says():
     """Metropolis steps, many of them, against the Stirling numbers, for as many customers as these are known for."""
-    monkeypatch.setattr(pitman_yor, "METROPOLIS", ((math.inf, 60),))
     d, rng = 0.6, np.random.default_rng(3)
     for new in (0.05, 3.0, 40.0):
         log_s = pitman_yor.stirling(d, 200)[200, 1:] + np.arange(1, 201) * math.log(new)
         want = np.exp(log_s - log_s.max())
         want /= want.sum()
-        drawn = pitman_yor._metropolis(np.full(4000, 200), np.full(4000, math.log(new)), d, rng)
+        drawn = pitman_yor._metropolis(np.full(4000, 200), np.full(4000, math.log(new)), d, rng, ((math.inf, 60),))
         mean, spread = (want * np.arange(1, 201)).sum(), math.sqrt((want * (np.arange(1, 201) - (want * np.arange(1, 201)).sum()) ** 2).sum())
         assert abs(drawn.mean() - mean) < 0.2 * spread + 0.02 and abs(drawn.std() - spread) < 0.25 * spread + 0.05
 
