@@ -76,11 +76,11 @@ def smallest_cover(children: DataFrame, parents: DataFrame, share: float = confi
     return best.select(*keys, "id", F.col("x.b").alias("parent"))
 
 
-def smallest_container(items: DataFrame, containers: DataFrame, *, keys: Sequence[str] = KEYS, slack: float = 0.0, by_centre: bool = False) -> DataFrame:
-    """(keys, id, container): the smallest box that covers the item, within slack, or only its centre; ties by centre distance, then id."""
+def smallest_container(items: DataFrame, containers: DataFrame, *, keys: Sequence[str] = KEYS, slack: float = 0.0, by_centre: bool = False, ties_by_centre: bool = True) -> DataFrame:
+    """(keys, id, container): the smallest box that covers the item, within slack, or only its centre; ties by centre distance if asked, then id."""
     inside = B.holds_centre(Z, A) if by_centre else B.contains(Z, A, slack)
     good = meet(items, containers, keys=keys, within=slack).where(inside)
-    order = F.struct(B.area(Z).alias("area"), B.centre_distance(A, Z).alias("d"), F.col("b_id").alias("b"))
+    order = F.struct(B.area(Z).alias("area"), *([B.centre_distance(A, Z).alias("d")] if ties_by_centre else []), F.col("b_id").alias("b"))
     return good.groupBy(*keys, F.col("a_id").alias("id")).agg(F.min(order).alias("x")).select(*keys, "id", F.col("x.b").alias("container"))
 
 
