@@ -1,8 +1,10 @@
 """Joins of axis-parallel boxes (keys, id, x0, y0, x1, y1) through a grid, and greedy choices among the boxes of a page.
 
 Boxes meet within one value of the keys, such as document and page. The grid has three levels: a box lives at the finest
-whose cells it crosses few of, and a pair meets at the coarser of its two levels, in one cell. So neither a large box nor
-a crowd of small ones makes more rows than a few for each box.
+whose cells it crosses few of, and a pair meets at the coarser of its two levels, in one cell. The levels of both are part
+of the key, so small boxes are held against the whole page only where a large one lies on it, and neither a large box nor
+a crowd of small ones makes more rows than a few for each box. The join is never broadcast: rows multiply after the size
+that Spark knows.
 
 Defined cases: a box with a null or endless coordinate, and a row with a null key, meets nothing; rows that repeat meet
 each by itself; an empty table gives an empty result; other columns pass through with their side's prefix.
@@ -25,6 +27,8 @@ from ..plans.runtime import cut, per_group
 CELLS = (64.0, 1024.0)
 #: Cells that a box may cross in a direction at its own level.
 CROSSED = 4
+#: Boxes on a page from which a search without a bound begins at less than its usual distance.
+CROWD = 1000
 KEYS = ("page",)
 A, Z = B.Side("a_"), B.Side("b_")
 
@@ -33,29 +37,46 @@ def _sided(boxes: DataFrame, side: str, keys: Sequence[str]) -> DataFrame:
     return boxes.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{c}`").alias(f"{side}_{c}") for c in boxes.columns if c not in keys])
 
 
-def _levelled(boxes: DataFrame, side: str, keys: Sequence[str], reach: float) -> DataFrame:
-    box = B.Box.named(f"{side}_")
+def _known(box: B.Box) -> Column:
     known = F.lit(True)
     for v in box:
         known &= v.between(-1e12, 1e12)
+    return known
+
+
+def _levelled(boxes: DataFrame, side: str, keys: Sequence[str], reach: float) -> DataFrame:
+    """A row for each level of a partner (the other side's column) and each cell there."""
+    box = B.Box.named(f"{side}_")
+    known = _known(box)
     for k in keys:
         known &= F.col(f"`{k}`").isNotNull()
     size = F.greatest(box.x1 - box.x0, box.y1 - box.y0) + 2 * reach
     level = F.when(size <= CELLS[0] * CROSSED, 0).when(size <= CELLS[1] * CROSSED, 1).otherwise(2)
-    rows = _sided(boxes, side, keys).where(known).withColumn(f"__{side}", level).withColumn("__level", F.explode(F.sequence(F.col(f"__{side}"), F.lit(2))))
-    cell = F.when(F.col("__level") == 0, CELLS[0]).otherwise(CELLS[1])
-    span = lambda low, high: F.when(F.col("__level") == 2, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor((low - reach) / cell), F.floor((high + reach) / cell)))
+    own, other = f"__{side}", "__b" if side == "a" else "__a"
+    rows = _sided(boxes, side, keys).where(known).withColumn(own, level).withColumn(other, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    at = F.greatest(own, other)
+    cell = F.when(at == 0, CELLS[0]).otherwise(CELLS[1])
+    span = lambda low, high: F.when(at == 2, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor((low - reach) / cell), F.floor((high + reach) / cell)))
     return rows.withColumn("__x", F.explode(span(box.x0, box.x1))).withColumn("__y", F.explode(span(box.y0, box.y1)))
 
 
 def meet(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = KEYS, within: float = 0.0) -> DataFrame:
     """Pairs at most within apart: keys, a_* and b_*. The cell of the pair's lower common corner reports it."""
     left, right = _levelled(a, "a", keys, within), _levelled(b, "b", keys, 0.0)
-    joined = left.join(right, [*keys, "__level", "__x", "__y"]).where(F.col("__level") == F.greatest("__a", "__b"))
-    cell = F.when(F.col("__level") == 0, CELLS[0]).otherwise(CELLS[1])
-    corner = lambda p, q: F.when(F.col("__level") == 2, 0).otherwise(F.floor(F.greatest(p - within, q) / cell))
+    joined = left.join(right.hint("merge"), [*keys, "__a", "__b", "__x", "__y"])
+    at = F.greatest("__a", "__b")
+    cell = F.when(at == 0, CELLS[0]).otherwise(CELLS[1])
+    corner = lambda p, q: F.when(at == 2, 0).otherwise(F.floor(F.greatest(p - within, q) / cell))
     once = joined.where((F.col("__x") == corner(A.x0, Z.x0)) & (F.col("__y") == corner(A.y0, Z.y0)))
-    return once.drop("__level", "__x", "__y", "__a", "__b").where(B.gap(A, Z) <= within)
+    return once.drop("__x", "__y", "__a", "__b").where(B.gap(A, Z) <= within)
+
+
+def _spacing(boxes: DataFrame, keys: Sequence[str], k: int, most: float) -> float:
+    """About half the side of a square that holds k boxes on the most crowded page, at most that distance; that distance if no page is crowded."""
+    per = boxes.where(_known(B.Box.named())).groupBy(*keys).agg(F.count("*").alias("n"), (F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"))
+    side = F.sqrt(F.greatest("w", F.lit(1.0)) * F.greatest("h", F.lit(1.0)) * k / F.col("n"))
+    least = per.where(F.col("n") > CROWD).agg(F.min(side)).first()[0]
+    return most if least is None else min(most, max(least / 2, most / 256))
 
 
 def iou_join(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -92,24 +113,25 @@ def adjacent(boxes: DataFrame, margin: float = config.BOX_ADJACENCY, *, keys: Se
 def nearest(a: DataFrame, b: DataFrame, *, k: int = config.NEAREST_COUNT, keys: Sequence[str] = KEYS, reach: float | None = None, order: Sequence[Column] = (), start: float = 64.0, distance: Column | None = None) -> DataFrame:
     """keys, a_*, b_*, distance, rank: the k nearest boxes of each box, ties by order, then b_id. Ids are unique within the keys.
 
-    With reach, none farther. Without it the search widens fourfold for those that have not k yet, until they have, or all of their page.
+    With reach, none farther. Without it the search widens fourfold for those that have not k yet, until they have, or all of their page;
+    it begins at start, or at less where a page is crowded.
     """
     apart = B.gap(A, Z) if distance is None else distance
-    rank = F.row_number().over(Window.partitionBy(*keys, "a_id").orderBy("distance", *order, "b_id"))
+    mine = Window.partitionBy(*keys, "a_id")
+    rank = F.row_number().over(mine.orderBy("distance", *order, "b_id"))
 
     def within(rows: DataFrame, d: float) -> DataFrame:
         return meet(rows, b, keys=keys, within=d).withColumn("distance", apart).withColumn("rank", rank).where(F.col("rank") <= k)
 
     if reach is not None:
         return within(a, reach).where(F.col("distance") <= reach)
-    whole = cut(b.groupBy(*keys).agg(F.count("*").alias("__n")))
-    open_, out, d = cut(a.join(whole, list(keys), "left_semi")), None, start
+    whole = b.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("__n"))
+    open_, out, d = cut(a.join(whole, list(keys))), None, _spacing(b, keys, 2 * k, start)
     while True:
-        found = cut(within(open_, d))
-        per = found.groupBy(*keys, F.col("a_id").alias("id")).agg(F.count("*").alias("__m")).join(whole, list(keys)).where(F.col("__m") >= F.least(F.col("__n"), F.lit(k))).select(*keys, "id")
-        done = found.join(per.withColumnRenamed("id", "a_id"), [*keys, "a_id"], "left_semi")
+        found = within(open_, d).withColumn("__m", F.count("*").over(mine))
+        done = cut(found.where(F.col("__m") >= F.col("a___n")).drop("__m", "a___n"))
         out = done if out is None else out.unionByName(done)
-        open_ = cut(open_.join(per, [*keys, "id"], "left_anti"))
+        open_ = cut(open_.join(done.where("rank = 1").select(*keys, F.col("a_id").alias("id")).hint("merge"), [*keys, "id"], "left_anti"))
         if open_.isEmpty() or d > 1e12:
             return out
         d *= 4
@@ -126,11 +148,23 @@ def assign_by_proximity(items: DataFrame, targets: DataFrame, threshold: float =
     """(keys, id, target, distance): the nearest target by edge distance, ties by area, then id; none beyond the threshold or with a runner-up within it less than margin behind."""
     apart = B.edge_distance(A, Z, factor)
     order = Window.partitionBy(*keys, "a_id").orderBy("distance", B.area(Z), "b_id")
-    # An edge distance may be less than the threshold only if the gap is: each is an edge's, or the gap times a factor of at least 1.
-    ranked = meet(items, targets, keys=keys, within=threshold).withColumn("distance", apart).where(F.col("distance") <= threshold)
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("distance").over(order))
+
+    def first(rows: DataFrame, reach: float) -> DataFrame:
+        # An edge distance may be less than the reach only if the gap is: each is an edge's, or the gap times a factor of at least 1.
+        ranked = meet(rows, targets, keys=keys, within=reach).withColumn("distance", apart).where(F.col("distance") <= reach)
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("distance").over(order))
+        return ranked.where("rank = 1").select(*keys, F.col("a_id").alias("id"), F.col("b_id").alias("target"), "distance", "next")
+
+    # On crowded pages a nearer search settles those whose runner-up lies within it, or beyond the margin.
+    out, open_, reach = None, items, _spacing(targets, keys, 1, threshold) + 2 * margin
+    while reach < threshold:
+        done = cut(first(open_, reach).where(F.col("distance") + 2 * margin <= reach))
+        out = done if out is None else out.unionByName(done)
+        open_ = cut(open_.join(done.select(*keys, "id").hint("merge"), [*keys, "id"], "left_anti"))
+        reach *= 4
+    rest = first(open_, threshold)
     sure = F.col("next").isNull() | (F.col("next") - F.col("distance") >= margin)
-    return ranked.where((F.col("rank") == 1) & sure).select(*keys, F.col("a_id").alias("id"), F.col("b_id").alias("target"), "distance")
+    return (rest if out is None else out.unionByName(rest)).where(sure).select(*keys, "id", "target", "distance")
 
 
 def distinct_regions(regions: DataFrame, *, keys: Sequence[str] = KEYS, category: str | None = "category", step: float = config.CLOSED_EDGE) -> DataFrame:
