@@ -12,6 +12,7 @@ from tracewright.queries.core import boxes
 #: Queries over the boxes of parts.
 QUERIES = [
     "iou_join",
+    "coverage_parent",
 ]
 
 
