@@ -13,6 +13,7 @@ from tracewright.queries.core import boxes
 QUERIES = [
     "iou_join",
     "coverage_parent",
+    "endpoint_fallback",
 ]
 
 
