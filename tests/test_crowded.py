@@ -14,6 +14,7 @@ QUERIES = [
     "iou_join",
     "coverage_parent",
     "endpoint_fallback",
+    "text_to_cell",
 ]
 
 
