@@ -15,6 +15,7 @@ QUERIES = [
     "coverage_parent",
     "endpoint_fallback",
     "text_to_cell",
+    "cross_reference_links",
 ]
 
 
