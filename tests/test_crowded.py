@@ -16,6 +16,7 @@ QUERIES = [
     "endpoint_fallback",
     "text_to_cell",
     "cross_reference_links",
+    "endpoint_owners",
 ]
 
 
