@@ -17,6 +17,7 @@ QUERIES = [
     "text_to_cell",
     "cross_reference_links",
     "endpoint_owners",
+    "link_sources",
 ]
 
 
