@@ -18,6 +18,7 @@ QUERIES = [
     "cross_reference_links",
     "endpoint_owners",
     "link_sources",
+    "dwithin_join",
 ]
 
 
