@@ -19,6 +19,7 @@ QUERIES = [
     "endpoint_owners",
     "link_sources",
     "dwithin_join",
+    "hit_test",
 ]
 
 
