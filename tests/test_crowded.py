@@ -20,6 +20,7 @@ QUERIES = [
     "link_sources",
     "dwithin_join",
     "hit_test",
+    "link_targets",
 ]
 
 
