@@ -21,6 +21,7 @@ QUERIES = [
     "dwithin_join",
     "hit_test",
     "link_targets",
+    "nearest_k_band",
 ]
 
 
