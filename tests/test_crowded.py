@@ -22,6 +22,7 @@ QUERIES = [
     "hit_test",
     "link_targets",
     "nearest_k_band",
+    "proximity_assignment",
 ]
 
 
