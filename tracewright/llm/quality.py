@@ -2,9 +2,9 @@
 
 Spark counts the n-grams of four characters (UTF-16 code units, as they are written) in all texts, and from them the
 continuation counts of the shorter ones, their discounts and the mass of each context: a modified Kneser-Ney model for each language,
-held in arrays sorted by a hash of the n-gram with a directory of its first bits. A model holds the most frequent n-grams of
-each order, MODEL_GRAMS of a language at most; what the others would have is left to their contexts' back-off, so
-probabilities sum to one and those of the n-grams held are the same however many are left out. Statistics cover all texts.
+held in arrays sorted by a hash of the n-gram with a directory of its first bits. A model holds all n-grams, unless fit() is
+asked for fewer: then the most frequent, and what the others would have is left to their contexts' back-off, so probabilities
+sum to one and those of the n-grams held are the same however many are left out. Statistics cover all texts.
 
 A text has two perplexities: by word and by character. Bands: the median of the language's, widened by a number of
 robust deviations below and above, more for short texts; documents outside of either are rejected.
@@ -38,8 +38,6 @@ BY_WORD, BY_CHARACTER = (3.0, 5.0), (3.5, 6.0)
 SHORT = 800
 #: Deviation taken at least, in log10 of perplexity, where nearly all documents agree, and the width of the bins in which medians are found.
 LEAST_SPREAD, BIN = 0.01, 0.001
-#: N-grams of one order that the model of a language holds.
-MODEL_GRAMS = 2_000_000
 #: Models of so many bytes are broadcast at a time; languages beyond take further passes.
 BROADCAST_BYTES = 256_000_000
 #: N-grams that a task gathers before it adds them up, and that are scored at a time.
@@ -211,8 +209,8 @@ def _arrays(df: DataFrame, value: str) -> dict[str | None, tuple[np.ndarray, np.
 
 
 def fit(docs: DataFrame, *, model_grams: int | None = None) -> dict[str | None, KneserNey]:
-    """A model for each language, of counts over all of docs. The n-grams that models hold come to the driver, no others."""
-    most = MODEL_GRAMS if model_grams is None else model_grams
+    """A model for each language, of counts over all of docs. The n-grams that models hold come to the driver: all, or model_grams of an order at most."""
+    most = math.inf if model_grams is None else model_grams
     level = materialize(count_ngrams(docs), "ngrams")
     shares: list[dict] = [{}] * ORDER
     weights: list[dict] = [{}] * ORDER
