@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,3 +154,49 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         give_back()
 
     return task
+
+
+#: Keys of a filter for each of its words of 64 bits, and words that one group of keys fills.
+KEYS_A_WORD, SEGMENT = 5, 1 << 11
+
+
+def _marks(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each key in a filter, and the four bits that it sets there."""
+    one = np.uint64(1)
+    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    at = ((x >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64)
+    bits = np.zeros(len(x), np.uint64)
+    for shift in (0, 6, 12, 18):
+        bits |= one << (x >> np.uint64(shift) & np.uint64(63))
+    return at, bits
+
+
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A filter of the n longs in the only column of keys, of 13 bits each: held() is true of them all, and of one in a hundred others."""
+    words = max(1, -(-n // KEYS_A_WORD))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(_marks(batch.column(0).to_numpy(), words)[0] // SEGMENT), batch.column(0)], names=["segment", "key"])
+
+    def fill(table: pa.Table) -> pa.Table:
+        first = table["segment"][0].as_py() * SEGMENT
+        at, bits = _marks(table["key"].to_numpy(), words)
+        out = np.zeros(min(SEGMENT, words - first), np.uint64)
+        np.bitwise_or.at(out, at - first, bits)
+        return pa.table([pa.array([first // SEGMENT]), pa.array([out.tobytes()], pa.binary())], names=["segment", "bits"])
+
+    parts = keys.mapInArrow(lean(deal), "segment long, key long").groupBy("segment").applyInArrow(fill, "segment long, bits binary").toArrow()
+    out = np.zeros(words, np.uint64)
+    for segment, bits in zip(parts["segment"].to_pylist(), parts["bits"], strict=True):
+        own = np.frombuffer(bits.as_buffer(), np.uint64)
+        out[segment * SEGMENT : segment * SEGMENT + len(own)] = own
+    return out
+
+
+def held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (longs) a filter may hold."""
+    at, bits = _marks(keys, len(table))
+    return table[at] & bits == bits

@@ -3,7 +3,8 @@
 A byte goes if a string of LENGTH bytes around it also starts earlier. Strings are brought together by an anchor: of
 the GRAM-byte grams inside a string, the first with the least hash. Equal strings have equal anchors, and a string's
 neighbours mostly share one, so a text has about two anchors for each LENGTH - GRAM bytes. Only anchors whose gram is found twice
-matter. Their contexts meet in tasks by the anchor's hash; there the suffixes from the anchor on, and the mirrored ones
+matter: contexts are taken of those in a filter of their hashes, which every task has, and of one in a hundred others, which
+meet nothing. Contexts meet in tasks by the anchor's hash; there the suffixes from the anchor on, and the mirrored ones
 before it, are sorted (see deep_shallow), and the lengths that neighbours share tell which strings are equal. A hot
 anchor's contexts are dealt into blocks; the strings that come first in their block meet once more, by their digest.
 
@@ -24,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lean, materialize, small
+from .common import as_bytes, held, key_filter, lean, materialize, small
 from .deep_shallow import sort
 
 LENGTH, GRAM = 100, 24
 #: Contexts in one task's group, about, and contexts of a hot anchor in one block.
 GROUP_ROWS, BLOCK_ROWS = 1000, 500
-#: Keys (8 bytes each) that are broadcast; with more, tables are joined.
+#: Keys (8 bytes each) of whole copies that are broadcast; with more, copies are sorted like other texts.
 BROADCAST_KEYS = 8_000_000
+#: Documents and runs to remove that are broadcast at once; with more, documents are cut in several passes, dealt by their key.
+SPANS = 8_000_000
 _TABLE = np.random.default_rng(20240612).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _M = 0x9E3779B97F4A7C15
 
@@ -141,29 +144,28 @@ RUN = "key long, start long, stop long"
 
 
 def _contexts(source: DataFrame, gone, dups, groups: int, length: int) -> DataFrame:
-    """h, block, key, d, tie, start, before, strings, context, for the anchors in dups (hashes and their numbers)."""
+    """h, block, key, d, tie, start, before, strings, context, for the anchors in dups: a filter of their hashes, and the hot ones with their numbers."""
     block_rows = BLOCK_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skipped = gone.value
-        hashes, times = dups.value if dups is not None else (None, None)
+        repeated, hashes, times = dups.value
         names = ["h", "grp", "block", "key", "d", "tie", "start", "before", "strings", "context"]
         for batch in batches:
             keys, ds, ties = (batch.column(i).to_numpy() for i in range(3))
             out: list[list] = [[] for _ in names]
-            held = 0
+            size = 0
             drop = _inside(skipped, keys)
             for r in np.flatnonzero(~drop).tolist():
                 data = batch.column(3)[r].as_py()
                 h, place, first, last = anchors(data, length)
                 h = h.view(np.int64)
-                if hashes is not None:
-                    pick = _inside(hashes, h)
-                    h, place, first, last = h[pick], place[pick], first[pick], last[pick]
+                pick = held(repeated, h)
+                h, place, first, last = h[pick], place[pick], first[pick], last[pick]
                 if not len(h):
                     continue
-                n = times[np.searchsorted(hashes, h)] if hashes is not None else np.ones(len(h), np.int64)
-                hot = n > block_rows
+                hot, n = _inside(hashes, h), np.ones(len(h), np.int64)
+                n[hot] = times[np.searchsorted(hashes, h[hot])]
                 blocks = np.where(hot, 1 + ((h ^ keys[r]).view(np.uint64) * np.uint64(_M) >> np.uint64(33)).astype(np.int64) % np.maximum(1, -(-n // block_rows)), 0)
                 out[0].extend(h.tolist())
                 out[1].extend(np.where(hot, h, h % groups).tolist())
@@ -175,10 +177,10 @@ def _contexts(source: DataFrame, gone, dups, groups: int, length: int) -> DataFr
                 out[8].extend((last - first + 1).tolist())
                 cut = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 out[9].extend(cut)
-                held += sum(map(len, cut))
-                if held > 16_000_000:
+                size += sum(map(len, cut))
+                if size > 16_000_000:
                     yield pa.record_batch([pa.array(c, pa.binary() if k == 9 else pa.int64()) for k, c in enumerate(out)], names=names)
-                    out, held = [[] for _ in names], 0
+                    out, size = [[] for _ in names], 0
             yield pa.record_batch([pa.array(c, pa.binary() if k == 9 else pa.int64()) for k, c in enumerate(out)], names=names)
 
     return source.mapInArrow(lean(run), "h long, grp long, block long, key long, d long, tie long, start long, before long, strings long, context binary")
@@ -244,15 +246,10 @@ def repeated_runs(docs: DataFrame, copies: np.ndarray, *, length: int = LENGTH)
     dup = materialize(source.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
     kinds, rows = dup.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = max(1, rows // GROUP_ROWS)
-    if kinds <= BROADCAST_KEYS:
-        table = dup.toArrow()
-        h, n = table["h"].to_numpy(), table["n"].to_numpy()
-        order = np.argsort(h)
-        contexts = _contexts(source, gone, sc.broadcast((h[order], n[order])), groups, length)
-    else:
-        every = _contexts(source, gone, None, groups, length).drop("grp", "block").join(dup, "h")
-        hot = F.col("n") > BLOCK_ROWS
-        contexts = every.withColumn("grp", F.when(hot, F.col("h")).otherwise(F.pmod("h", F.lit(groups)))).withColumn("block", F.when(hot, 1 + F.pmod(F.xxhash64("h", "key"), F.ceil(F.col("n") / BLOCK_ROWS))).otherwise(0))
+    hot = dup.where(F.col("n") > BLOCK_ROWS).toArrow()
+    h, n = hot["h"].to_numpy(), hot["n"].to_numpy()
+    order = np.argsort(h)
+    contexts = _contexts(source, gone, sc.broadcast((key_filter(dup.select("h"), kinds), h[order], n[order])), groups, length)
     found = materialize(_judged(contexts, length), "judged")
     runs = found.where("digest is null").select("key", "start", "stop")
     hot = found.where("digest is not null")
@@ -290,43 +287,44 @@ def merged(runs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """doc_id, data (the bytes that stay), n_bytes, n_removed, spans (runs removed): a row for each row of docs."""
-    sc = docs.sparkSession.sparkContext
     copies = whole_copies(docs, length)
     few_copies = copies.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     skipped = _array(copies) if few_copies else np.zeros(0, np.int64)
     runs = materialize(merged(repeated_runs(docs, skipped, length=length).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))), "runs")
     size = runs.agg(F.count("*") + F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
-    gone, table = sc.broadcast(skipped), None
+    passes = max(1, -(-size // SPANS))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), as_bytes().alias("data"))
-    if size <= BROADCAST_KEYS:
-        got = runs.toArrow().combine_chunks()
-        lists = got["runs"].combine_chunks() if got.num_rows else None
-        keys = got["key"].to_numpy()
-        order = np.argsort(keys)
-        table = sc.broadcast((keys[order], order, lists.offsets.to_numpy(), lists.values.field(0).to_numpy(), lists.values.field(1).to_numpy()) if lists is not None else (keys, order, np.zeros(1, np.int64), keys, keys))
-    else:
-        source = source.join(runs.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key"), "left").select("doc_id", "key", "data", "runs")
+    own = lambda rows, p: rows.where(F.pmod("key", F.lit(passes)) == p) if passes > 1 else rows
+    gone, out = docs.sparkSession.sparkContext.broadcast(skipped), None
+    for p in range(passes):
+        done = _cut(own(source, p), own(runs, p), gone)
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def _cut(source: DataFrame, runs: DataFrame, gone) -> DataFrame:
+    """What deduplicate() returns of source (doc_id, key, data), with the runs of its documents; those in gone (keys, broadcast) go as a whole."""
+    got = runs.toArrow().combine_chunks()
+    keys = got["key"].to_numpy()
+    order = np.argsort(keys)
+    lists = got["runs"].combine_chunks() if got.num_rows else None
+    starts, stops = ((lists.values.field(i).to_numpy().astype(np.int32) for i in (0, 1)) if lists is not None else (np.zeros(0, np.int32),) * 2)
+    table = source.sparkSession.sparkContext.broadcast((keys[order], order, lists.offsets.to_numpy() if lists is not None else np.zeros(1, np.int32), starts, stops))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skipped = gone.value
+        skipped, (known, order, offsets, starts, stops) = gone.value, table.value
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            copied = _inside(skipped, keys).tolist()
+            copied, hit, at = _inside(skipped, keys).tolist(), _inside(known, keys).tolist(), np.searchsorted(known, keys)
             out: list[list] = [[], [], [], []]
-            if table is not None:
-                known, order, offsets, starts, stops = table.value
-                at = np.searchsorted(known, keys)
-                hit = _inside(known, keys).tolist()
             for r in range(batch.num_rows):
                 data = batch.column(2)[r].as_py()
+                spans = []
                 if copied[r]:
                     spans = [(0, len(data))]
-                elif table is not None:
-                    k = order[at[r]] if hit[r] else -1
-                    spans = union_of(starts[offsets[k] : offsets[k + 1]], stops[offsets[k] : offsets[k + 1]]) if hit[r] else []
-                else:
-                    listed = batch.column(3)[r].as_py() or []
-                    spans = union_of(np.array([x["start"] for x in listed], np.int64), np.array([x["stop"] for x in listed], np.int64))
+                elif hit[r]:
+                    k = order[at[r]]
+                    spans = union_of(starts[offsets[k] : offsets[k + 1]], stops[offsets[k] : offsets[k + 1]])
                 ends = [0, *[x for span in spans for x in span], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 for column, value in zip(out, (kept, len(data), len(data) - len(kept), [{"start": a, "stop": b} for a, b in spans]), strict=True):
