@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracewright.llm import common, suffix_dedup
+from tracewright.llm import common, ngram_join, suffix_dedup
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +38,24 @@ def test_suffix_dedup_sends_contexts_of_repeated_anchors_only(spark, texts, monk
     assert sorted(map(str, suffix_dedup.deduplicate(texts).collect())) == want
     every = sum(len(suffix_dedup.anchors(r["text"].encode())[0]) for r in texts.collect())
     assert 100 < sent[0] < every / 4
+
+
+def test_ngram_join_shuffles_shared_parts_only(spark, texts, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in texts.collect()]
+    near = [(1000 + 10 * i + k, t + f" more{k}") for i, t in rows[:40] for k in range(3)]
+    docs = common.materialize(spark.createDataFrame([*rows, *near], "doc_id long, text string").repartition(3), "near-copies")
+    found = lambda: sorted(tuple(r) for r in ngram_join.similar_components(docs).select("doc_id", "n_shingles", "component_id").collect())
+    want = found()
+    assert sum(c != i for i, _, c in want) == 120
+    sent, parts = [], ngram_join._held_parts
+
+    def spied(listed, several, n):
+        out = parts(listed, several, n)
+        sent.append((out.count(), listed.agg(F.sum(F.size("signatures"))).first()[0]))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_held_parts", spied)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 50)
+    assert found() == want
+    assert 0 < sent[0][0] < sent[0][1] / 2

@@ -31,14 +31,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, apply_copies, as_bytes, batch_of, give_back, kept, lean, materialize, row_key, small
+from . import common as C
+from .common import Memo, apply_copies, as_bytes, batch_of, give_back, held, kept, key_filter, lean, materialize, row_key, small
 from .components import components
 
 SIZE, PERCENT = 3, 90
 #: Tokens that a block holds, about, where a set counts as LEAST at least; a neighbourhood with more has several.
 BLOCK_TOKENS, LEAST = 150_000, 150
-#: Keys (8 bytes each) that are broadcast to pick the sets to compare; with more, the texts are joined.
+#: Common tokens (8 bytes each) that are broadcast.
 BROADCAST_KEYS = 4_000_000
+#: Sets to compare that are told to all tasks at once (33 bytes each); with more, they are taken from the texts in several passes, dealt by their key.
+MEMBERS = 2_000_000
+#: Bits of a part's hash that are kept, the upper ones: parts that agree by chance only bring strangers together.
+_PART_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 HUBS = 4
 #: Blocks of more bytes than that make their worker give memory back.
 LARGE_BYTES = 400_000
@@ -281,7 +286,7 @@ def _listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if len(tokens):
                     parts.append(signatures(tokens, levels, common.value))
                 at.append(at[-1] + (len(parts[-1]) if len(tokens) else 0))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            flat = np.concatenate(parts) & _PART_BITS if parts else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
             new = batch_of(schema, [range(row, row + batch.num_rows), counts, keys, lists])
             row += batch.num_rows
@@ -291,25 +296,52 @@ def _listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return materialize(source.mapInArrow(lean(run), "doc_id long, key long, row_key long, row long, n_shingles long, set_key binary, signatures array<long>"), "listed")
 
 
+def _held_parts(listed: DataFrame, several: DataFrame, n: int) -> DataFrame:
+    """row, s: the signatures in listed (row, signatures) that are in several (n rows, __s), and one in a hundred others."""
+    table = listed.sparkSession.sparkContext.broadcast(key_filter(several.select("__s"), n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy()
+            row = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().fill_null(0).to_numpy())
+            pick = held(table.value, flat)
+            yield pa.record_batch([pa.array(row[pick]), pa.array(flat[pick])], names=["row", "s"])
+
+    return listed.select("row", "signatures").mapInArrow(lean(run), "row long, s long")
+
+
 def _token_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """key, tokens of the rows of docs whose key is in members."""
-    wanted = members.select("key").distinct()
-    few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy())) if few else None
+    """row, place, n, tokens, large of the rows of docs whose key is in members (key, row, place, n, large)."""
+    passes = max(1, -(-members.count() // MEMBERS))
     source = docs.select(F.xxhash64("doc_id", "text").alias("key"), as_bytes().alias("data"))
-    source = source if few else source.join(wanted, "key", "left_semi")
+    own = lambda rows, p: rows.where(F.pmod("key", F.lit(passes)) == p) if passes > 1 else rows
+    out = None
+    for p in range(passes):
+        sets = _sets_told(own(source, p), own(members, p), size)
+        out = sets if out is None else out.unionByName(sets)
+    return out
+
+
+def _sets_told(source: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    told = members.select("key", "row", "place", "n", "large").toArrow().sort_by("key")
+    known = source.sparkSession.sparkContext.broadcast([told[c].to_numpy() for c in told.column_names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, table = kept("hashes", WordHashes), known.value if known is not None else None
+        memo, (table, row, place, n, large) = kept("hashes", WordHashes), known.value
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            pick = np.arange(len(keys)) if table is None else np.flatnonzero(table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys) if len(table) else np.zeros(0, np.int64)
-            sets = [token_set(batch.column(1)[i].as_py(), memo, size).view(np.int64) for i in pick.tolist()]
-            at = np.cumsum([0, *map(len, sets)])
+            first, last = np.searchsorted(table, keys), np.searchsorted(table, keys, "right")
+            pick = np.flatnonzero(last > first)
+            found = [token_set(batch.column(1)[i].as_py(), memo, size).view(np.int64) for i in pick.tolist()]
+            # A key that rows of different classes share is in the table for each of them.
+            times = (last - first)[pick]
+            at = np.repeat(first[pick] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            sets = [found[k] for k in np.repeat(np.arange(len(pick)), times).tolist()]
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(keys[pick]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["key", "tokens"])
+            tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
+            yield pa.record_batch([pa.array(row[at]), pa.array(place[at]), pa.array(n[at]), tokens, pa.array(large[at])], names=["row", "place", "n", "tokens", "large"])
 
-    return source.mapInArrow(lean(run), "key long, tokens array<long>")
+    return source.mapInArrow(lean(run), "row long, place long, n long, tokens array<long>, large boolean")
 
 
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("place", pa.int64()), ("hub", pa.bool_())])
@@ -393,16 +425,20 @@ def similar_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
     # The rows that only repeat a class, and the parts that several share, are small beside all parts: broadcast if so, joined else.
     repeated = classes.where("copies > 1").select(F.col("set_key").alias("__set"), "rep")
     spare = materialize(listed.select("row", "set_key").join(repeated, F.col("set_key") == F.col("__set")).where("row != rep").select(F.col("row").alias("__row")), "spare")
-    parts = listed.join(small(spare), F.col("row") == F.col("__row"), "left_anti").select("row", F.explode("signatures").alias("s"))
+    own = listed.join(small(spare), F.col("row") == F.col("__row"), "left_anti").select("row", "signatures")
+    parts = own.select("row", F.explode("signatures").alias("s"))
     shared = materialize(parts.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("m")).where("m > 1"), "shared-parts")
-    several = small(shared.where("m > 2").select(F.col("s").alias("__s"), "first"))
+    several = shared.where("m > 2").select(F.col("s").alias("__s"), "first")
+    n = several.count()
+    # Beyond what is broadcast, only parts that several are likely to share are shuffled once more.
+    several, parts = (F.broadcast(several), parts) if n <= C.BROADCAST_ROWS else (several, _held_parts(own, several, n))
     near = shared.where("m = 2").select(F.col("first").alias("v"), F.col("last").alias("u")).union(parts.join(several, F.col("s") == F.col("__s")).select(F.col("first").alias("v"), F.col("row").alias("u")))
     around = components(near, "neighbours")
     places = around.select(F.col("v").alias("row"), F.col("root").alias("place")).union(around.select(F.col("root").alias("row"), F.col("root").alias("place")).distinct())
     members = materialize(places.join(listed.select("row", "key", F.greatest("n_shingles", F.lit(LEAST)).alias("n")), "row"), "members")
     weight = members.groupBy("place").agg(F.sum("n").alias("all"))
     weighed = materialize(members.join(weight, "place").withColumn("large", F.col("all") > BLOCK_TOKENS).drop("all"), "weighed")
-    sets = materialize(_token_sets(docs, members, size).join(small(weighed), "key").select("row", "place", "n", "tokens", "large"), "sets")
+    sets = materialize(_token_sets(docs, weighed, size), "sets")
     found = materialize(_joined_blocks(sets.where("not large").select("row", "place", F.lit(0).alias("block"), "tokens"), percent).select(F.col("u").alias("v"), F.col("v").alias("root")), "links")
     large = sets.where("large").drop("large")
     if not large.isEmpty():
