@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tracewright.llm import quality
+from tracewright.llm import pitman_yor, quality
 
 
 def test_a_model_holds_more_than_two_million_ngrams(spark):
@@ -12,3 +12,15 @@ def test_a_model_holds_more_than_two_million_ngrams(spark):
     texts = ["".join(map(chr, rng.integers(0x4E00, 0x9E00, 105_000))) for _ in range(20)]
     model = quality.fit(spark.createDataFrame([("x", t) for t in texts], "lang string, text string"))["x"]
     assert len(model.grams[quality.ORDER - 1].hashes) == len(np.unique(np.concatenate([quality.codes(t) for t in texts]))) > 2_000_000
+
+
+def test_every_word_has_a_context_of_its_own(spark, monkeypatch):
+    """More words than 1 << 19: none of them is a member of a class of rare words."""
+    rows = [(i, " ".join(f"{k:x}" for k in range(i * 20_000, (i + 1) * 20_000))) for i in range(36)]
+    seen, fit_pairs = [], pitman_yor.fit_pairs
+    monkeypatch.setattr(pitman_yor, "fit_pairs", lambda ranges, pairs, *a: seen.append((pairs.words, a[0])) or fit_pairs(ranges, pairs, *a))
+    got = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    known = 20_000 * sum(not r["held_out"] for r in got)
+    words, customers = seen[0]
+    assert words == known + 1 > 1 << 19 and customers[words] == 0
+    assert len(got) == 36 and all(r["score"] < 0 for r in got)

@@ -8,14 +8,14 @@ Chinese-restaurant conditional given the parent, by Gibbs steps: up to EXACT cus
 Metropolis steps with the same target, whose proposals seat a restaurant exactly, from one new table to the next. Predictive
 probabilities are averaged over the samples after the burn-in.
 
-The HEAVY most frequent words are dishes and contexts of their own after a word; all others are one, RARE, there, and told apart by the restaurant
-without context, where all words of the corpus are dishes. Words that training did not have are one event, as in the base score: a
-new table whose spelling is no known word's.
+All words of training are dishes and contexts of their own after a word. Words that training did not have are one there, RARE, and one event, as in
+the base score: a new table whose spelling is no known word's. With a lower HEAVY, words rarer than the HEAVY most frequent ones are RARE too, and
+told apart by the restaurant without context.
 
 Counting and scoring cover all texts. Texts are cut into batches of about BATCH_TOKENS tokens. A batch sends the distinct pairs of its
 words, sorted and as gaps, to the ranges of pairs that they fall in; a range adds up the batches' counts, samples its pairs, and answers each batch
 with its pairs' probabilities in their order. So a pair is shuffled once for each batch that has it, in a few bytes, and texts are not
-shuffled. Tables that grow with the vocabulary stay in Spark; the driver holds arrays of HEAVY numbers and the byte restaurants. Random
+shuffled. The driver and each worker hold arrays of a number for each word that is not RARE, and the driver the byte restaurants. Random
 numbers follow from the ranges of pairs and the buckets of words, so reruns agree.
 
 Defined cases: a null text is empty and has the end only; a null doc_id is taken for the empty name when the rows held out
@@ -44,7 +44,8 @@ SYMBOLS = 257
 EXACT = 256
 #: Metropolis steps where so many tables are likely at most: few where there are many, as proposals are nearly right there.
 METROPOLIS = ((50, 5), (500, 2), (math.inf, 1))
-HEAVY = 1 << 19
+#: Words, the most frequent ones, with contexts and dishes of their own after a word: all, unless it is set lower.
+HEAVY = 1 << 31
 MEMO = 200_000
 SWEEPS, BURN_IN, DRAWS, SEED = 3, 1, 1, 11
 #: Sweeps of the restaurants after a word, of which the first BURN_IN_PAIRS are not kept.
@@ -342,6 +343,7 @@ def fit(vocabulary: DataFrame, *, seed: int = SEED) -> tuple[WordModel, DataFram
                     yield batch_of(cells, [np.append(code, -1), np.append(np.bincount(where, each).astype(np.int64), t.sum())])
 
         found = buckets.mapInArrow(lean(sample), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        shipped.destroy()
         code, n = found["code"].to_numpy(), found["n"].to_numpy()
         order = np.argsort(code)
         code, n = code[order], n[order]
@@ -366,6 +368,7 @@ def fit(vocabulary: DataFrame, *, seed: int = SEED) -> tuple[WordModel, DataFram
                 yield batch_of(dish, [np.array([_hash(w) for w in words], np.uint64).view(np.int64), n, seated, 10.0**base])
 
     dishes = materialize(buckets.mapInArrow(lean(seat), "hash long, n long, seated double, spelled double"), "dishes")
+    shipped.destroy()
     total, known = dishes.agg(F.coalesce(F.sum(F.col("n") - F.col("seated")), F.lit(0.0)), F.coalesce(F.sum("spelled"), F.lit(0.0))).first()
     model.tables = total / d
     model.log_unknown = math.log10(model.new / model.whole * max(1e-12, 1.0 - known))
@@ -505,7 +508,9 @@ def _scan(source: DataFrame, heavy: tuple, pairs: Pairs) -> DataFrame:
         if held:
             yield from flush()
 
-    return materialize(source.mapInArrow(lean(run), SCAN), "scan")
+    out = materialize(source.mapInArrow(lean(run), SCAN), "scan")
+    shipped.destroy()
+    return out
 
 
 RANGES = "part int, n long, codes binary, counts binary, batches array<long>, sizes array<long>, places array<binary>"
@@ -572,6 +577,7 @@ def _sweep(ranges: DataFrame, m: PairModel, seed: int, sweep: int) -> tuple[np.n
     drawn = ranges.select("part", "n", "codes", "counts").mapInArrow(lean(run), SUMS)
     fan = max(1, math.isqrt(m.pairs.ranges))
     rows = drawn.groupBy(F.pmod("part", F.lit(fan)).alias("fan")).applyInArrow(add, SUMS).collect()
+    shipped.destroy()  # else each sweep's arrays stay on the disks of the driver and of all executors
     out = [sum((unpacked(bytes(r[name]), k, 8).astype(np.int64) for r in rows), np.zeros(k, np.int64)) for name, k in (("contexts", size[0]), ("words", size[1]))]
     return out[0], out[1]
 
@@ -605,14 +611,22 @@ def _parent(customers: np.ndarray, base: np.ndarray, seed: int, sweep: int) -> n
     return p / p.sum()
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, in 4 bytes each if they fit: there is one for each word."""
+    return x.astype(np.int32 if not len(x) or x.max() < 2**31 else np.int64)
+
+
 def fit_pairs(ranges: DataFrame, pairs: Pairs, customers: np.ndarray, base: np.ndarray, seed: int) -> tuple[PairModel, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
     """The restaurants after a word, and for each sample kept what its draws were made with and what they gave: tables before, parent before, tables, parent."""
+    customers = _narrow(customers)
     m = PairModel(pairs, _pair_discount(ranges), customers, np.zeros(0), np.zeros(0))
-    m.tables, words = _sweep(ranges, m, seed, -1)  # a table for each pair
+    tables, words = _sweep(ranges, m, seed, -1)  # a table for each pair
+    m.tables = _narrow(tables)
     m.parent = _parent(words, base, seed, -1 + (1 << 10))
     samples = []
     for sweep in range(SWEEPS_PAIRS):
         tables, words = _sweep(ranges, m, seed, sweep)
+        tables = _narrow(tables)
         parent = _parent(words, base, seed, sweep)
         if sweep >= BURN_IN_PAIRS:
             samples.append((sweep, m.tables, m.parent, tables, parent))
