@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+from pyspark import SparkContext
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tracewright.llm import pitman_yor, quality
 
@@ -24,3 +28,33 @@ def test_every_word_has_a_context_of_its_own(spark, monkeypatch):
     words, customers = seen[0]
     assert words == known + 1 > 1 << 19 and customers[words] == 0
     assert len(got) == 36 and all(r["score"] < 0 for r in got)
+
+
+def test_no_array_of_all_words_on_the_driver(spark, monkeypatch):
+    """240 000 words in blocks: what is broadcast, gathered by Arrow or collected is less than a byte for each."""
+    monkeypatch.setattr(pitman_yor, "RANGE_TOKENS", 40_000)
+    rows = [(i, " ".join(f"{k:x}" for k in range(i * 15_000, (i + 1) * 15_000)) + " the end") for i in range(24)]
+    sizes, broadcast, to_arrow, collect = [], SparkContext.broadcast, DataFrame.toArrow, DataFrame.collect
+    bare = len(pickle.dumps(pitman_yor.Spelling.uniform())) + 400 * 257 * 4  # contexts of two symbols: hexadecimal digits and a few letters
+
+    def gathered(df):
+        got = to_arrow(df)
+        sizes.append(got.nbytes)
+        return got
+
+    def collected(df):
+        got = collect(df)
+        sizes.append(sum(len(v) if isinstance(v, (bytes, bytearray)) else 8 for r in got for v in r))
+        return got
+
+    monkeypatch.setattr(SparkContext, "broadcast", lambda sc, value: sizes.append(len(pickle.dumps(value)) - bare) or broadcast(sc, value))
+    monkeypatch.setattr(DataFrame, "toArrow", gathered)
+    monkeypatch.setattr(DataFrame, "collect", collected)
+    scores = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert max(sizes) < 240_000
+    monkeypatch.undo()
+    got = scores.collect()
+    known = 15_000 * sum(not r["held_out"] for r in got)
+    assert known == 240_000 and len(got) == 24
+    for r in got:
+        assert r["n_tokens"] == 15_003 and r["n_known"] == (3 if r["held_out"] else 15_003) and r["score"] < 0

@@ -12,11 +12,12 @@ All words of training are dishes and contexts of their own after a word. Words t
 the base score: a new table whose spelling is no known word's. With a lower HEAVY, words rarer than the HEAVY most frequent ones are RARE too, and
 told apart by the restaurant without context.
 
-Counting and scoring cover all texts. Texts are cut into batches of about BATCH_TOKENS tokens. A batch sends the distinct pairs of its
-words, sorted and as gaps, to the ranges of pairs that they fall in; a range adds up the batches' counts, samples its pairs, and answers each batch
-with its pairs' probabilities in their order. So a pair is shuffled once for each batch that has it, in a few bytes, and texts are not
-shuffled. The driver and each worker hold arrays of a number for each word that is not RARE, and the driver the byte restaurants. Random
-numbers follow from the ranges of pairs and the buckets of words, so reruns agree.
+Counting and scoring cover all texts. Texts are cut into batches of about BATCH_TOKENS tokens. Words are dealt into blocks by their hashes; a batch sends its
+distinct words to their blocks, which answer with numbers and counts. Then it sends its distinct pairs, sorted and as gaps, to ranges, one for each block of contexts with
+each block of words; a range adds up the batches' counts, samples its pairs, and answers each batch with its pairs' probabilities in their order. So a pair is
+shuffled once for each batch that has it, in a few bytes, and texts are not shuffled. Numbers of all contexts and words are kept by block, and a range gets those
+that it needs: no process holds all of them. The driver holds the byte restaurants and how many words have each count. Files and shuffles that nothing reads any
+more are deleted on the way. Random numbers follow from the ranges of pairs, the blocks and the buckets of words, so reruns agree.
 
 Defined cases: a null text is empty and has the end only; a null doc_id is taken for the empty name when the rows held out
 are chosen; rows that repeat count each; a very long text is scored as a whole, in a batch of its own size; an empty table gives an empty
@@ -29,15 +30,17 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, lean, materialize
+from .common import as_bytes, batch_of, forget, lean, materialize, release
 
 MARK = 256
 SYMBOLS = 257
@@ -369,6 +372,7 @@ def fit(vocabulary: DataFrame, *, seed: int = SEED) -> tuple[WordModel, DataFram
 
     dishes = materialize(buckets.mapInArrow(lean(seat), "hash long, n long, seated double, spelled double"), "dishes")
     shipped.destroy()
+    forget(buckets)
     total, known = dishes.agg(F.coalesce(F.sum(F.col("n") - F.col("seated")), F.lit(0.0)), F.coalesce(F.sum("spelled"), F.lit(0.0))).first()
     model.tables = total / d
     model.log_unknown = math.log10(model.new / model.whole * max(1e-12, 1.0 - known))
@@ -376,35 +380,64 @@ def fit(vocabulary: DataFrame, *, seed: int = SEED) -> tuple[WordModel, DataFram
     return model, dishes.select("hash", "n", log_p.alias("log_p"), "spelled"), least
 
 
-# Pairs: (context, word) as one number, scrambled so that ranges of them are even.
+# Words and pairs: blocks of words by their hashes, ranges of pairs by the blocks of context and word.
+
+
+def _blocks_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each hash; blocks follow the order of the hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
 class Pairs:
-    """Numbers of pairs of contexts (a word, RARE or the start of a text) and dishes (a word or RARE); RARE comes after all words, the start after that."""
+    """Numbers of pairs of contexts (a word, RARE or the start of a text) and dishes (a word or RARE); RARE comes after all words, the start after that.
+
+    Words are numbered in the order of their hashes, block by block; a range has the pairs of a block of contexts and a block of dishes. RARE and the start are in the last block.
+    """
+
+    starts: np.ndarray  # the first word of each block, and the number of words
 
-    words: int
-    ranges: int
+    @property
+    def words(self) -> int:
+        return int(self.starts[-1])
+
+    @property
+    def blocks(self) -> int:
+        return len(self.starts) - 1
 
     @property
-    def bits(self) -> int:
-        return max(8, ((self.words + 2) * (self.words + 1)).bit_length(), self.ranges.bit_length() + 1)
+    def side(self) -> int:
+        return int(np.diff(self.starts).max()) + 2
+
+    def size(self, axis: int, block: int) -> int:
+        """Contexts (axis 0) or dishes (axis 1) of a block."""
+        return int(self.starts[block + 1] - self.starts[block]) + (2 - axis if block == self.blocks - 1 else 0)
+
+    def _block(self, ids: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.starts[1:], ids, "right"), self.blocks - 1)
 
     def numbers(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        code = context.astype(np.uint64) * np.uint64(self.words + 1) + word.astype(np.uint64)
-        return (code * np.uint64(_ODD)) & np.uint64((1 << self.bits) - 1)
+        i, j, side = self._block(context), self._block(word), np.uint64(self.side)
+        part = (i * self.blocks + j).astype(np.uint64)
+        return (part * side + (context - self.starts[i]).astype(np.uint64)) * side + (word - self.starts[j]).astype(np.uint64)
 
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = (numbers * np.uint64(pow(_ODD, -1, 1 << self.bits))) & np.uint64((1 << self.bits) - 1)
-        return (code // np.uint64(self.words + 1)).astype(np.int64), (code % np.uint64(self.words + 1)).astype(np.int64)
+        part, u, w = self._apart(numbers)
+        return self.starts[part // self.blocks] + u, self.starts[part % self.blocks] + w
 
-    def starts(self, numbers: np.ndarray) -> np.ndarray:
-        """Where each range begins among sorted numbers, and their end."""
-        edges = np.arange(self.ranges + 1, dtype=np.uint64) << np.uint64(self.bits - (self.ranges.bit_length() - 1))
-        return np.searchsorted(numbers, edges)
+    def within(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and dishes as places in their blocks."""
+        return self._apart(numbers)[1:]
 
+    def _apart(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rest, w = np.divmod(numbers, np.uint64(self.side))
+        part, u = np.divmod(rest, np.uint64(self.side))
+        return part.astype(np.int64), u.astype(np.int64), w.astype(np.int64)
 
-_ODD = 0x9E3779B97F4A7C15
+    def cuts(self, numbers: np.ndarray) -> np.ndarray:
+        """Where each range begins among sorted numbers, and their end."""
+        edges = np.arange(self.blocks**2, dtype=np.uint64) * np.uint64(self.side**2)
+        return np.append(np.searchsorted(numbers, edges), len(numbers))
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
@@ -428,111 +461,263 @@ def from_gaps(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpacked(data, n, 8), dtype=np.uint64)
 
 
-SCAN = "kind int, batch long, part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<struct<hash: long, times: int>>, n long, one binary, two binary"
+def reals(values: np.ndarray) -> bytes:
+    return packed(np.ascontiguousarray(values, np.float64).view("<u8"), 8)
 
 
-def _scan(source: DataFrame, heavy: tuple, pairs: Pairs) -> DataFrame:
-    """SCAN: rows of kind 0 for documents; kind 1 for batches: n_tokens documents, n tokens, each one's place among the batch's pairs (one), the tokens of each document (two); kind 2 for
-    the pairs of a batch in a range: n of them, as gaps (one), with their counts in training (two)."""
-    shipped = source.sparkSession.sparkContext.broadcast(heavy)
-    rare_type = pa.struct([("hash", pa.int64()), ("times", pa.int32())])
-    schema = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("rare", pa.list_(rare_type)), ("n", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
+def from_reals(data: bytes, n: int) -> np.ndarray:
+    return unpacked(data, n, 8).view(np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base_of = shipped.value
-        base_of = np.append(base_of, 0.0)  # the last stands for words to be joined
-        memo: dict[bytes, int] = {}
-        row = TaskContext.get().partitionId() << 33
-        held: list[tuple[int, bool, np.ndarray]] = []
-        n_held = 0
 
-        def told(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
+def bits(places: np.ndarray, size: int) -> bytes:
+    """Which of so many places are there."""
+    there = np.zeros(size, np.bool_)
+    there[places] = True
+    return packed(np.packbits(there), 1)
+
+
+def from_bits(data: bytes, size: int) -> np.ndarray:
+    return np.unpackbits(unpacked(data, -(-size // 8), 1), count=size).view(np.bool_)
+
+
+def _rows(table: pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(table[c].to_pylist() for c in names), strict=True)
+
 
-        def documents(columns: dict[str, pa.Array | list], n: int) -> pa.RecordBatch:
-            given = {"kind": np.zeros(n, np.int32), **columns}
-            return pa.record_batch([given[f.name] if isinstance(given.get(f.name), pa.Array) else pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
+KNOWN = "block int, rows long, words long, customers long, ends long, own_ends long, mass double, spelled_mass double, hashes binary, counts binary, light binary, spelled binary"
+
+
+def _known(dishes: DataFrame, least: int, blocks: int) -> DataFrame:
+    """KNOWN: the dishes of each block in the order of their hashes, log_p of the rare ones (light) and the spelled probabilities of the others, with sums over the others."""
+    spark = dishes.sparkSession
+    end = np.uint64(_hash(b""))
+    schema = pa.schema([*[(c, pa.int32() if c == "block" else pa.int64()) for c in ("block", "rows", "words", "customers", "ends", "own_ends")], ("mass", pa.float64()), ("spelled_mass", pa.float64()), *[(c, pa.binary()) for c in ("hashes", "counts", "light", "spelled")]])
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        table = table.filter(pc.greater(table["n"], 0))
+        hashes = table["hash"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        hashes, n, log_p, spelled = hashes[order], *(table[c].to_numpy()[order] for c in ("n", "log_p", "spelled"))
+        own, ends = n >= least, hashes == end
+        values = [block, len(n), int(own.sum()), int(n[own].sum()), int(n[ends].sum()), int(n[ends & own].sum()), float((10.0 ** log_p[own]).sum()), float(spelled[own].sum())]
+        values += [gaps(hashes), packed(n, 8), reals(log_p[~own]), reals(spelled[own])]
+        return pa.Table.from_batches([batch_of(schema, [[v] for v in values])])
+
+    block = F.shiftright(F.shiftrightunsigned("hash", 32) * F.lit(blocks), 32).cast("int").alias("block")
+    # A row for each block, so that none is missing.
+    each = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("log_p"), F.lit(0.0).alias("spelled"))
+    return materialize(dishes.select(block, "hash", "n", "log_p", "spelled").unionByName(each).groupBy("block").applyInArrow(run, KNOWN), "known")
+
+
+WORDS = "batch long, block int, docs long, n long, one binary, two binary, out binary, ids array<long>"
+
+
+def _scan(source: DataFrame, blocks: int) -> DataFrame:
+    """WORDS: rows of block -1 for batches: docs documents, n tokens, each one's place among the batch's words (one), the tokens of each document (two), which are held out (out), their
+    ids; rows of a block for the batch's words there: n of them, as gaps of hashes (one)."""
+    schema = pa.schema([("batch", pa.int64()), ("block", pa.int32()), ("docs", pa.int64()), ("n", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("out", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        number, row, n_held = TaskContext.get().partitionId() << 33, 0, 0
+        ids, out, held = [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            lengths = np.fromiter((len(x) for _, _, x in held), np.int64, len(held))
-            word = np.concatenate([x for _, _, x in held])
-            context = np.empty_like(word)
-            context[1:] = word[:-1]
-            context[np.cumsum(lengths) - lengths] = pairs.words + 1
-            numbers, place = np.unique(pairs.numbers(context, word), return_inverse=True)
-            train = np.repeat(np.fromiter((not out for _, out, _ in held), np.float64, len(held)), lengths)
-            counts = np.bincount(place, train, len(numbers)).astype(np.int64)
-            batch = held[0][0]
-            head = {"kind": 1, "batch": batch, "row": batch, "n_tokens": len(held), "n": len(word), "one": packed(place, 4), "two": packed(lengths, 4)}
-            rows, starts = [head], pairs.starts(numbers).tolist()
-            for part, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
-                if b > a:
-                    rows.append({"kind": 2, "batch": batch, "part": part, "n": b - a, "one": gaps(numbers[a:b]), "two": packed(counts[a:b], 4)})
-            yield told(rows)
+            lengths = np.fromiter(map(len, held), np.int64, len(held))
+            words, place = np.unique(np.concatenate(held), return_inverse=True)
+            batch = number + row - len(held)
+            rows = [{"batch": batch, "block": -1, "docs": len(held), "n": len(place), "one": packed(place, 4), "two": packed(lengths, 4), "out": packed(np.array(out), 1), "ids": ids}]
+            cuts = np.searchsorted(_blocks_of(words, blocks), np.arange(blocks + 1)).tolist()
+            rows += [{"batch": batch, "block": k, "n": b - a, "one": gaps(words[a:b])} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if len(memo) > MEMO:
                 memo.clear()
             texts = [words_of(t.as_py()) for t in batch.column(2)]
             for words in texts:
                 words.append(b"")
             unseen = list(set().union(*texts) - memo.keys())
-            h = np.fromiter(map(_hash, unseen), np.uint64, len(unseen))
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            hit = known[at] == h if len(known) else np.zeros(len(h), np.bool_)
-            memo.update(zip(unseen, np.where(hit, at, -1).tolist(), strict=True))
-            counted: list[list] = [[], [], []]
-            rare, lengths = [], [0]
-            for i, (held_out_, words) in enumerate(zip(out, texts, strict=True)):
-                own = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                inside = int((own >= 0).sum())
-                for column, value in zip(counted, (len(words), inside, float(base_of[own].sum())), strict=True):
-                    column.append(value)
-                if inside < len(words):
-                    rare.extend(Counter([words[k] for k in np.flatnonzero(own < 0).tolist()]).items())
-                    own[own < 0] = pairs.words
-                lengths.append(len(rare))
-                held.append((row + i, held_out_, own))
+            memo.update(zip(unseen, map(_hash, unseen), strict=True))
+            for id_, out_, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                ids.append(id_)
+                out.append(out_)
+                held.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+                row += 1
                 n_held += len(words)
                 if n_held >= BATCH_TOKENS:
                     yield from flush()
-                    held.clear()
-                    n_held = 0
-            names = [w for w, _ in rare]
-            hashes = np.fromiter(map(_hash, names), np.uint64, len(names)).view(np.int64)
-            items = pa.StructArray.from_arrays([pa.array(hashes), pa.array([k for _, k in rare], pa.int32())], fields=list(rare_type))
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), items)
-            yield documents({"row": range(row, row + batch.num_rows), "doc_id": ids, "held_out": out, "n_tokens": counted[0], "n_known": counted[1], "base_score": counted[2], "rare": lists}, batch.num_rows)
-            row += batch.num_rows
+                    ids, out, held, n_held = [], [], [], 0
         if held:
             yield from flush()
 
-    out = materialize(source.mapInArrow(lean(run), SCAN), "scan")
-    shipped.destroy()
-    return out
+    return materialize(source.mapInArrow(lean(run), WORDS), "words")
 
 
-RANGES = "part int, n long, codes binary, counts binary, batches array<long>, sizes array<long>, places array<binary>"
+NAMES = "batch long, block int, n long, places binary, counts binary, n_light long, light binary"
 
 
-def _ranges(scan: DataFrame) -> DataFrame:
-    """RANGES: the pairs of each range with their counts over all batches, and for each batch the places of its own among them."""
+def _named(words: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """NAMES: for the words of each batch in a block their places among those that are not RARE (their number for RARE), their counts in training, and log_p of those that are RARE and known."""
+    schema = pa.schema([("batch", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("n_light", pa.int64()), ("light", pa.binary())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            rows, own_words, data, counts, light = next(_rows(right, "rows", "words", "hashes", "counts", "light"))
+            hashes, n = np.append(from_gaps(data, rows), np.uint64(0)), np.append(unpacked(counts, rows, 8).astype(np.int64), 0)
+            own = n >= least
+            own[-1] = False
+            names = np.where(own, np.cumsum(own) - 1, own_words)
+            log_p = np.full(rows + 1, np.nan)
+            log_p[:-1][~own[:-1]] = from_reals(light, rows - own_words)
+            for batch, block, k, one in _rows(left, "batch", "block", "n", "one"):
+                h = from_gaps(one, k)
+                at = np.searchsorted(hashes[:-1], h)
+                at = np.where((at < rows) & (hashes[at] == h), at, rows)  # the last stands for words that training did not have
+                rare = log_p[at][~own[at] & (at < rows)]
+                out.append(batch_of(schema, [[batch], [block], [k], [packed(names[at], 4)], [packed(n[at], 8)], [len(rare)], [reals(rare)]]))
+        return pa.Table.from_batches(out, schema)
+
+    return words.where("block >= 0").select("batch", "block", "n", "one").groupBy("block").cogroup(known.select("block", "rows", "words", "hashes", "counts", "light").groupBy("block")).applyInArrow(run, NAMES)
+
+
+BATCHES = "batch long, docs long, n long, one binary, two binary, out binary, ids array<long>, known array<long>, base array<double>, more array<double>"
+SCAN = f"part int, sum_n long, gaps binary, sums binary, {BATCHES}"
+
+
+def _paired(words: DataFrame, names: DataFrame, pairs: Pairs, total: float, unknown: float, rare_mass: float) -> DataFrame:
+    """SCAN: rows of part -1 for batches, as in WORDS, but each token's place among the batch's pairs (one), with each document's known tokens, base score and what its RARE words add; rows of
+    a part for the batch's pairs in a range: sum_n of them, as gaps, with their counts in training (sums)."""
+    schema = pa.schema([("part", pa.int32()), ("sum_n", pa.int64()), ("gaps", pa.binary()), ("sums", pa.binary()), ("batch", pa.int64()), ("docs", pa.int64()), ("n", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("out", pa.binary()), ("ids", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("more", pa.list_(pa.float64()))])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("block", "ascending")])
+        names, counts, more = [], [], []
+        for block, k, places, n, n_light, light in _rows(right, "block", "n", "places", "counts", "n_light", "light"):
+            place, own = unpacked(places, k, 4).astype(np.int64), int(pairs.starts[block + 1] - pairs.starts[block])
+            names.append(np.where(place < own, place + pairs.starts[block], pairs.words))
+            counts.append(unpacked(n, k, 8).astype(np.int64))
+            extra = np.where(place < own, 0.0, unknown - rare_mass)
+            extra[(place >= own) & (counts[-1] > 0)] = from_reals(light, n_light) - rare_mass
+            more.append(extra)
+        name, count, extra = map(np.concatenate, (names, counts, more))
+        batch, docs, n, one, two, out = next(_rows(left, "batch", "docs", "n", "one", "two", "out"))
+        place, lengths = unpacked(one, n, 4).astype(np.int64), unpacked(two, docs, 4).astype(np.int64)
+        begin = np.cumsum(lengths) - lengths
+        base, seen = np.log10((count + 1) / total), (count > 0).astype(np.int64)
+        told = [np.add.reduceat(x[place], begin) for x in (seen, base, extra)]
+        word = name[place]
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[begin] = pairs.words + 1
+        numbers, place = np.unique(pairs.numbers(context, word), return_inverse=True)
+        train = np.repeat(1 - unpacked(out, docs, 1).astype(np.float64), lengths)
+        sums = np.bincount(place, train, len(numbers)).astype(np.int64)
+        head = {"part": -1, "batch": batch, "docs": docs, "n": n, "one": packed(place, 4), "two": two, "out": out, "ids": left["ids"][0], "known": told[0], "base": told[1], "more": told[2]}
+        rows, cuts = [], pairs.cuts(numbers).tolist()
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if b > a:
+                rows.append({"part": part, "batch": batch, "sum_n": b - a, "gaps": gaps(numbers[a:b]), "sums": packed(sums[a:b], 4)})
+        first = pa.record_batch([pa.array([head[f.name].as_py() if f.name == "ids" else head.get(f.name)], f.type) for f in schema], schema=schema)
+        return pa.Table.from_batches([first, pa.RecordBatch.from_pylist(rows, schema=schema)])
+
+    heads = words.where("block < 0").select("batch", "docs", "n", "one", "two", "out", "ids")
+    return materialize(heads.groupBy("batch").cogroup(names.groupBy("batch")).applyInArrow(run, SCAN), "scan")
+
+
+RANGES = "part int, n long, codes binary, counts binary, contexts binary, words binary, batches array<long>, sizes array<long>, places array<binary>"
+
+
+def _ranges(scan: DataFrame, pairs: Pairs) -> DataFrame:
+    """RANGES: the pairs of each range with their counts over all batches, which contexts and words of its blocks they have, and for each batch the places of its own among them."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("batch", "ascending")])
-        rows = list(zip(*(table[c].to_pylist() for c in ("n", "one", "two")), strict=True))
+        rows = list(_rows(table, "sum_n", "gaps", "sums"))
         own = [from_gaps(one, n) for n, one, _ in rows]
         codes, place = np.unique(np.concatenate(own), return_inverse=True)
         counts = np.bincount(place, np.concatenate([unpacked(two, n, 4) for n, _, two in rows]), len(codes)).astype(np.int64)
         cuts = np.cumsum([n for n, _, _ in rows])[:-1]
         places = [packed(np.diff(p, prepend=0), 4) for p in np.split(place, cuts)]
         part = table["part"][0].as_py()
-        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-        values = [part, len(codes), gaps(codes), packed(counts, 4), table["batch"].to_pylist(), [n for n, _, _ in rows], places]
-        return pa.table([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["part", "n", "codes", "counts", "batches", "sizes", "places"])
+        there = [bits(x, pairs.size(axis, block)) for axis, (x, block) in enumerate(zip(pairs.within(codes), divmod(part, pairs.blocks), strict=True))]
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+        values = [part, len(codes), gaps(codes), packed(counts, 4), *there, table["batch"].to_pylist(), [n for n, _, _ in rows], places]
+        return pa.table([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["part", "n", "codes", "counts", "contexts", "words", "batches", "sizes", "places"])
 
-    return materialize(scan.where("kind = 2").select("batch", "part", "n", "one", "two").groupBy("part").applyInArrow(run, RANGES), "ranges")
+    return materialize(scan.where("part >= 0").select("batch", "part", "sum_n", "gaps", "sums").groupBy("part").applyInArrow(run, RANGES), "ranges")
+
+
+class Spread:
+    """A number for each context (axis 0) or dish (axis 1) after a word, kept in Spark: block, values. Looked up on the driver, all of them are gathered; only tests do."""
+
+    def __init__(self, pairs: Pairs, axis: int, blocks: DataFrame) -> None:
+        self.pairs, self.axis, self.blocks = pairs, axis, blocks.select("block", "values")
+
+    @cached_property
+    def whole(self) -> np.ndarray:
+        return np.concatenate([from_reals(bytes(r["values"]), self.pairs.size(self.axis, r["block"])) for r in sorted(self.blocks.collect())])
+
+    def __getitem__(self, at):
+        return self.whole[at]
+
+
+def _beginnings(known: DataFrame, pairs: Pairs, least: int, rare: int, texts: int) -> tuple[Spread, Spread]:
+    """The customers of each context, and the parent's base probability of each dish: how it is spelled, and for RARE what is left."""
+    spelled = known.agg(F.sum("spelled_mass")).first()[0]
+    rest = max(1e-12, 1.0 - spelled)
+    schema = pa.schema([("axis", pa.int32()), ("block", pa.int32()), ("values", pa.binary())])
+    end = np.uint64(_hash(b""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows, own, hashes, counts, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                last = block == pairs.blocks - 1
+                n = unpacked(counts, rows, 8).astype(np.int64)
+                n = np.where(from_gaps(hashes, rows) == end, 0, n)[n >= least]
+                yield batch_of(schema, [[0, 1], [block, block], [reals(np.append(n, [rare, texts] if last else [])), reals(np.append(from_reals(p, own), [rest] if last else []) / (spelled + rest))]])
+
+    made = materialize(known.select("block", "rows", "words", "hashes", "counts", "spelled").mapInArrow(lean(run), "axis int, block int, values binary"), "beginnings")
+    return Spread(pairs, 0, made.where("axis = 0")), Spread(pairs, 1, made.where("axis = 1"))
+
+
+GIVEN = "part int, place int, n long, values binary"
+
+
+def _given(ranges: DataFrame, pairs: Pairs, spreads: list[Spread]) -> DataFrame:
+    """GIVEN: the numbers of each range's contexts or words in each of spreads (place), in their order; of none that it does not have."""
+    schema = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("n", pa.int64()), ("values", pa.binary())])
+    axes = [s.axis for s in spreads]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            place, block, data = next(_rows(left, "place", "block", "values"))
+            size = pairs.size(axes[place], block)
+            values = from_reals(data, size)
+            for part, there in _rows(right, "part", "there"):
+                own = values[from_bits(there, size)]
+                out.append(batch_of(schema, [[part], [place], [len(own)], [reals(own)]]))
+        return pa.Table.from_batches(out, schema)
+
+    given = [s.blocks.select(F.lit(k).alias("place"), "block", "values") for k, s in enumerate(spreads)]
+    needs = [F.struct(F.lit(k).alias("place"), (F.floor(F.col("part") / pairs.blocks) if s.axis == 0 else F.pmod("part", F.lit(pairs.blocks))).cast("int").alias("block"), F.col("words" if s.axis else "contexts").alias("there")) for k, s in enumerate(spreads)]
+    wanted = ranges.select("part", F.explode(F.array(*needs)).alias("x")).select("part", "x.*")
+    return reduce(DataFrame.unionByName, given).groupBy("place", "block").cogroup(wanted.groupBy("place", "block")).applyInArrow(run, GIVEN)
+
+
+def _spread_out(given: pa.Table, pairs: Pairs, part: int, u: np.ndarray, w: np.ndarray, axes: list[int]) -> list[np.ndarray]:
+    """The numbers given to a range, by their place in the block."""
+    out, blocks = [], divmod(part, pairs.blocks)
+    for (n, data), axis in zip(_rows(given.sort_by([("place", "ascending")]), "n", "values"), axes, strict=True):
+        there = np.zeros(pairs.size(axis, blocks[axis]), np.bool_)
+        there[w if axis else u] = True
+        values = np.zeros(len(there))
+        values[there] = from_reals(data, n)
+        out.append(values)
+    return out
 
 
 @dataclass
@@ -541,45 +726,56 @@ class PairModel:
 
     pairs: Pairs
     d: float
-    customers: np.ndarray
-    tables: np.ndarray
-    parent: np.ndarray
+    customers: Spread | None = None
+    tables: Spread | None = None
+    parent: Spread | None = None
 
 
 def _draw(m: PairModel, context: np.ndarray, word: np.ndarray, c: np.ndarray, tables: np.ndarray, parent: np.ndarray, rng: np.random.Generator, log_s: np.ndarray) -> np.ndarray:
     return draw_tables(c, np.log((STRENGTH + m.d * tables[context]) * parent[word]), m.d, rng, log_s)
 
 
-SUMS = "part int, contexts binary, words binary"
+SUMS = "axis int, block int, values binary, ones long, twos long, seen long"
 
 
-def _sweep(ranges: DataFrame, m: PairModel, seed: int, sweep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each context and each word after one draw of every pair. Sums are taken in groups of ranges first."""
-    spark, size = ranges.sparkSession, (m.pairs.words + 2, m.pairs.words + 1)
-    shipped = spark.sparkContext.broadcast(m)
-    schema = pa.schema([("part", pa.int32()), ("contexts", pa.binary()), ("words", pa.binary())])
+def _sweep(ranges: DataFrame, m: PairModel, seed: int, sweep: int) -> DataFrame:
+    """SUMS: tables of each context (axis 0) and each word (axis 1) after one draw of every pair, and how many have one, two, any. Before all sweeps, each pair has a table."""
+    pairs, bare = m.pairs, PairModel(m.pairs, m.d)
+    schema = pa.schema([("axis", pa.int32()), ("block", pa.int32()), ("values", pa.binary())])
+    all_sums = pa.schema([*schema, ("ones", pa.int64()), ("twos", pa.int64()), ("seen", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        log_s = stirling(model.d)
+    def summed(part: int, u: np.ndarray, w: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        blocks = divmod(part, pairs.blocks)
+        return batch_of(schema, [[0, 1], list(blocks), [packed(np.bincount(x, t, pairs.size(axis, blocks[axis])), 4) for axis, x in enumerate((u, w))]])
+
+    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, n, codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c = unpacked(counts, n, 4).astype(np.int64)
-                context, word = model.pairs.of(from_gaps(codes, n)[c > 0])
-                c = c[c > 0]
-                t = np.minimum(c, 1) if sweep < 0 else _draw(model, context, word, c, model.tables, model.parent, np.random.default_rng([seed, sweep, part, 7]), log_s)
-                yield batch_of(schema, [[part], [packed(np.bincount(context, t, size[0]), 4)], [packed(np.bincount(word, t, size[1]), 4)]])
+                c = unpacked(counts, n, 4)
+                yield summed(part, *pairs.within(from_gaps(codes, n)[c > 0]), np.ones(int((c > 0).sum())))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        part, n, codes, counts = next(_rows(left, "part", "n", "codes", "counts"))
+        u, w = pairs.within(from_gaps(codes, n))
+        tables, parent = _spread_out(right, pairs, part, u, w, [0, 1])
+        c = unpacked(counts, n, 4).astype(np.int64)
+        u, w, c = u[c > 0], w[c > 0], c[c > 0]
+        return pa.Table.from_batches([summed(part, u, w, _draw(bare, u, w, c, tables, parent, np.random.default_rng([seed, sweep, part, 7]), stirling(bare.d)))])
 
     def add(table: pa.Table) -> pa.Table:
-        whole = [sum(unpacked(x, k, 4).astype(np.int64) for x in table[name].to_pylist()) for name, k in (("contexts", size[0]), ("words", size[1]))]
-        return pa.table([pa.array([0], pa.int32()), *[pa.array([packed(w, 8)], pa.binary()) for w in whole]], names=["part", "contexts", "words"])
+        axis, block = table["axis"][0].as_py(), table["block"][0].as_py()
+        whole = np.zeros(pairs.size(axis, block), np.int64)
+        for data in table["values"]:
+            if data.is_valid:
+                whole += unpacked(data.as_py(), len(whole), 4).astype(np.int64)
+        return pa.Table.from_batches([batch_of(all_sums, [[axis], [block], [reals(whole)], [int((whole == 1).sum())], [int((whole == 2).sum())], [int((whole > 0).sum())]])])
 
-    drawn = ranges.select("part", "n", "codes", "counts").mapInArrow(lean(run), SUMS)
-    fan = max(1, math.isqrt(m.pairs.ranges))
-    rows = drawn.groupBy(F.pmod("part", F.lit(fan)).alias("fan")).applyInArrow(add, SUMS).collect()
-    shipped.destroy()  # else each sweep's arrays stay on the disks of the driver and of all executors
-    out = [sum((unpacked(bytes(r[name]), k, 8).astype(np.int64) for r in rows), np.zeros(k, np.int64)) for name, k in (("contexts", size[0]), ("words", size[1]))]
-    return out[0], out[1]
+    own = ranges.select("part", "n", "codes", "counts")
+    layout = "axis int, block int, values binary"
+    drawn = own.mapInArrow(lean(ones), layout) if sweep < 0 else own.groupBy("part").cogroup(_given(ranges, pairs, [m.tables, m.parent]).groupBy("part")).applyInArrow(run, layout)
+    # A row for each block, so that none is missing.
+    each = ranges.sparkSession.range(2 * pairs.blocks).select(F.pmod("id", F.lit(2)).cast("int").alias("axis"), F.floor(F.col("id") / 2).cast("int").alias("block"), F.lit(None).cast("binary").alias("values"))
+    return materialize(drawn.unionByName(each).groupBy("axis", "block").applyInArrow(add, SUMS), "sums")
 
 
 def _pair_discount(ranges: DataFrame) -> float:
@@ -595,39 +791,47 @@ def _pair_discount(ranges: DataFrame) -> float:
     return discount(float(ones), float(twos))
 
 
-def _parent(customers: np.ndarray, base: np.ndarray, seed: int, sweep: int) -> np.ndarray:
+def _parent(sums: DataFrame, base: Spread, seed: int, sweep: int) -> Spread:
     """Predictive probabilities of the restaurant without context, of words and RARE, whose customers are tables after a word."""
-    d = discount(float((customers == 1).sum()), float((customers == 2).sum()))
-    rng, log_s = np.random.default_rng([seed, sweep, 1 << 21]), stirling(d)
-    tables = float((customers > 0).sum())
-    new = (STRENGTH + d * tables) * np.maximum(base, 1e-300)
-    t = np.zeros(len(customers), np.int64)
-    t[:-1] = draw_tables(customers[:-1], np.log(new[:-1]), d, rng, log_s, ((50, 3), (math.inf, 1)))  # on the driver
-    if customers[-1]:  # RARE is many words: its tables, as many as hundreds of thousands, are their mean number
-        mean = (new[-1:] - _strength(customers[-1:], new[-1:], d)) / d
-        t[-1] = int(np.clip(np.rint(mean[0]), 1, customers[-1]))
-    tables = float(t.sum())
-    p = customers - d * t + (STRENGTH + d * tables) * base
-    return p / p.sum()
-
-
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """Whole numbers, in 4 bytes each if they fit: there is one for each word."""
-    return x.astype(np.int32 if not len(x) or x.max() < 2**31 else np.int64)
-
-
-def fit_pairs(ranges: DataFrame, pairs: Pairs, customers: np.ndarray, base: np.ndarray, seed: int) -> tuple[PairModel, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """The restaurants after a word, and for each sample kept what its draws were made with and what they gave: tables before, parent before, tables, parent."""
-    customers = _narrow(customers)
-    m = PairModel(pairs, _pair_discount(ranges), customers, np.zeros(0), np.zeros(0))
-    tables, words = _sweep(ranges, m, seed, -1)  # a table for each pair
-    m.tables = _narrow(tables)
-    m.parent = _parent(words, base, seed, -1 + (1 << 10))
+    pairs, customers = base.pairs, sums.where("axis = 1")
+    ones, twos, seen = customers.agg(F.sum("ones"), F.sum("twos"), F.sum("seen")).first()
+    d = discount(float(ones), float(twos))
+    schema = pa.schema([("block", pa.int32()), ("seated", pa.binary()), ("base", pa.binary()), ("tables", pa.int64()), ("customers", pa.int64())])
+    out = pa.schema([("block", pa.int32()), ("values", pa.binary())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, data = next(_rows(left, "block", "values"))
+        size = pairs.size(1, block)
+        c, own = from_reals(data, size).astype(np.int64), from_reals(right["values"][0].as_py(), size)
+        new = (STRENGTH + d * seen) * np.maximum(own, 1e-300)
+        words = size - (block == pairs.blocks - 1)
+        t = np.zeros(size, np.int64)
+        t[:words] = draw_tables(c[:words], np.log(new[:words]), d, np.random.default_rng([seed, sweep, 1 << 21, block]), stirling(d), ((50, 3), (math.inf, 1)))
+        if words < size and c[-1]:  # RARE is many words: its tables, as many as hundreds of thousands, are their mean number
+            mean = (new[-1:] - _strength(c[-1:], new[-1:], d)) / d
+            t[-1] = int(np.clip(np.rint(mean[0]), 1, c[-1]))
+        return pa.Table.from_batches([batch_of(schema, [[block], [reals(c - d * t)], [reals(own)], [int(t.sum())], [int(c.sum())]])])
+
+    seated = materialize(customers.select("block", "values").groupBy("block").cogroup(base.blocks.groupBy("block")).applyInArrow(run, "block int, seated binary, base binary, tables long, customers long"), "seated")
+    tables, total = seated.agg(F.sum("tables"), F.sum("customers")).first()
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size = pairs.size(1, block)
+                yield batch_of(out, [[block], [reals((from_reals(data, size) + (STRENGTH + d * tables) * from_reals(own, size)) / (total + STRENGTH))]])
+
+    return Spread(pairs, 1, seated.select("block", "seated", "base").mapInArrow(lean(shares), "block int, values binary"))
+
+
+def fit_pairs(ranges: DataFrame, pairs: Pairs, customers: Spread, base: Spread, seed: int) -> tuple[PairModel, list[tuple[int, Spread, Spread, Spread, Spread]]]:
+    """The restaurants after a word, and for each sample kept what its draws were made with and what they gave: sweep, tables before, parent before, tables, parent."""
+    m = PairModel(pairs, _pair_discount(ranges), customers)
     samples = []
-    for sweep in range(SWEEPS_PAIRS):
-        tables, words = _sweep(ranges, m, seed, sweep)
-        tables = _narrow(tables)
-        parent = _parent(words, base, seed, sweep)
+    for sweep in range(-1, SWEEPS_PAIRS):
+        sums = _sweep(ranges, m, seed, sweep)
+        release(ranges.sparkSession)
+        tables, parent = Spread(pairs, 0, sums.where("axis = 0")), _parent(sums, base, seed, sweep if sweep >= 0 else -1 + (1 << 10))
         if sweep >= BURN_IN_PAIRS:
             samples.append((sweep, m.tables, m.parent, tables, parent))
         m = PairModel(pairs, m.d, customers, tables, parent)
@@ -639,44 +843,47 @@ ANSWER = "batch long, part int, n long, answer binary"
 
 def _answers(ranges: DataFrame, m: PairModel, samples: list, seed: int) -> DataFrame:
     """ANSWER: -log10 probabilities of each batch's pairs in a range, in steps of STEP, averaged over the samples."""
-    shipped = ranges.sparkSession.sparkContext.broadcast((m, samples))
+    pairs, bare = m.pairs, PairModel(m.pairs, m.d)
     schema = pa.schema([("batch", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("answer", pa.binary())])
+    spreads = list(dict.fromkeys([m.customers, *(s for _, *own in samples for s in own)]))
+    axes, kept = [s.axis for s in spreads], [(sweep, *map(spreads.index, own)) for sweep, *own in samples]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kept = shipped.value
-        log_s = stirling(model.d)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part, n, codes, counts = (batch.column(k)[i].as_py() for k in range(4))
-                c = unpacked(counts, n, 4).astype(np.int64)
-                context, word = model.pairs.of(from_gaps(codes, n))
-                seen, whole, p = c > 0, STRENGTH + model.customers[context], np.zeros(n)
-                for sweep, before, above, tables, parent in kept:
-                    t = np.zeros(n)
-                    t[seen] = _draw(model, context[seen], word[seen], c[seen], before, above, np.random.default_rng([seed, sweep, part, 7]), log_s)
-                    p += (c - model.d * t + (STRENGTH + model.d * tables[context]) * parent[word]) / whole
-                steps = np.clip(np.rint(-np.log10(p / len(kept)) / STEP), 0, 65535).astype(np.int64)
-                for number, size, places in zip(*(batch.column(k)[i].as_py() for k in (4, 5, 6)), strict=True):
-                    own = np.cumsum(unpacked(places, size, 4).astype(np.int64))
-                    yield batch_of(schema, [[number], [part], [size], [packed(steps[own], 2)]])
-
-    return ranges.mapInArrow(lean(run), ANSWER)
-
-
-def _pair_scores(scan: DataFrame, answers: DataFrame) -> DataFrame:
-    """row, pairs: the sum of log10 probabilities of each document's pairs."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        part, n, codes, counts, batches, sizes, places = next(_rows(left, "part", "n", "codes", "counts", "batches", "sizes", "places"))
+        c = unpacked(counts, n, 4).astype(np.int64)
+        u, w = pairs.within(from_gaps(codes, n))
+        given, log_s = _spread_out(right, pairs, part, u, w, axes), stirling(bare.d)
+        seen, whole, p = c > 0, STRENGTH + given[0][u], np.zeros(n)
+        for sweep, *own in kept:
+            before, above, tables, parent = (given[k] for k in own)
+            t = np.zeros(n)
+            t[seen] = _draw(bare, u[seen], w[seen], c[seen], before, above, np.random.default_rng([seed, sweep, part, 7]), log_s)
+            p += (c - bare.d * t + (STRENGTH + bare.d * tables[u]) * parent[w]) / whole
+        steps = np.clip(np.rint(-np.log10(p / len(kept)) / STEP), 0, 65535).astype(np.int64)
+        answers = [packed(steps[np.cumsum(unpacked(x, size, 4).astype(np.int64))], 2) for size, x in zip(sizes, places, strict=True)]
+        return pa.Table.from_batches([batch_of(schema, [batches, [part] * len(sizes), sizes, answers])])
+
+    own = ranges.select("part", "n", "codes", "counts", "batches", "sizes", "places")
+    return own.groupBy("part").cogroup(_given(ranges, pairs, spreads).groupBy("part")).applyInArrow(run, ANSWER)
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scores(scan: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:
+    """RESULT: each document with the sum of log10 probabilities of its pairs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by([("part", "ascending")])
-        log = np.concatenate([unpacked(a, n, 2) for n, a in zip(right["n"].to_pylist(), right["answer"].to_pylist(), strict=True)]) * -STEP
-        n, first, one, two, rows = (left[c][0].as_py() for c in ("n", "row", "one", "two", "n_tokens"))
-        place, lengths = unpacked(one, n, 4), unpacked(two, rows, 4).astype(np.int64)
-        sums = np.add.reduceat(log[place], np.cumsum(lengths) - lengths)
-        return pa.table([pa.array(range(first, first + rows), pa.int64()), pa.array(sums)], names=["__row", "pairs"])
+        log = np.concatenate([unpacked(a, n, 2) for n, a in _rows(right, "n", "answer")]) * -STEP
+        n, docs, one, two, out = next(_rows(left, "n", "docs", "one", "two", "out"))
+        place, lengths = unpacked(one, n, 4), unpacked(two, docs, 4).astype(np.int64)
+        ids, known, base, more = (left[c].combine_chunks().flatten() for c in ("ids", "known", "base", "more"))
+        sums = np.add.reduceat(log[place], np.cumsum(lengths) - lengths) + more.to_numpy()
+        return pa.Table.from_batches([batch_of(schema, [ids, unpacked(out, docs, 1).astype(np.bool_), lengths, known, np.full(docs, tokens), base, sums])])
 
-    # Documents of a batch follow each other, as a batch is cut from one task's rows.
-    counted = scan.where("kind = 1").select("batch", "row", "n_tokens", "n", "one", "two")
-    return counted.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, "__row long, pairs double")
+    return scan.where("part < 0").drop("part", "sum_n", "gaps", "sums").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, RESULT)
 
 
 def score(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
@@ -685,28 +892,23 @@ def score(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), as_bytes().alias("data"))
     vocabulary = materialize(count_words(source.where(~F.col("held_out")).select("data")), "vocabulary")
     model, dishes, least = fit(vocabulary, seed=seed)
-    heavy = dishes.where(F.col("n") >= least).select("hash", "n", "log_p", "spelled").toArrow()
-    hashes = heavy["hash"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    known, n, log_p, spelled = hashes[order], heavy["n"].to_numpy()[order], heavy["log_p"].to_numpy()[order], heavy["spelled"].to_numpy()[order]
-    total = model.tokens + model.kinds + 1
-    ranges_wanted = 1 << max(0, (max(1, model.tokens // RANGE_TOKENS)).bit_length() - 1)
-    pairs = Pairs(len(known), ranges_wanted)
-    first = _scan(source, (known, np.log10((n + 1) / total)), pairs)
-    ranges = _ranges(first)
-    texts = first.where("kind = 0 and not held_out").count()
-    ends = n[known == np.uint64(_hash(b""))]
-    contexts = np.concatenate([np.where(known == np.uint64(_hash(b"")), 0, n), [model.tokens - n.sum() - (0 if len(ends) else texts)], [texts]]).astype(float)
-    base = np.append(spelled, max(1e-12, 1.0 - spelled.sum()))
-    m, samples = fit_pairs(ranges, pairs, contexts, base / base.sum(), seed)
-    scored = _pair_scores(first, _answers(ranges, m, samples, seed))
+    forget(vocabulary)
+    blocks = max(1, math.ceil(math.sqrt(model.tokens / RANGE_TOKENS)))
+    known = _known(dishes, least, blocks)
+    told = known.select("block", "words", "customers", "ends", "own_ends", "mass").orderBy("block").collect()
+    pairs = Pairs(np.cumsum([0, *(r["words"] for r in told)]))
+    texts = sum(r["ends"] for r in told)
+    rare = model.tokens - sum(r["customers"] for r in told) - (0 if any(r["own_ends"] for r in told) else texts)
     # What the words are that RARE stands for: their share of its mass without context.
-    rare_mass = math.log10(max(1e-300, 1.0 - float((10.0**log_p).sum())))
-    light = dishes.where(F.col("n") < least).select(F.col("hash").alias("h"), F.col("n").alias("c"), "log_p")
-    each = first.where("kind = 0").select("row", F.explode("rare").alias("x")).select("row", "x.*").join(light, F.col("hash") == F.col("h"), "left")
-    times, c = F.col("times"), F.coalesce("c", F.lit(0))
-    own = F.coalesce("log_p", F.lit(model.log_unknown)) - F.lit(rare_mass)
-    more = each.groupBy(F.col("row").alias("__rare")).agg(F.sum(F.when(c > 0, times).otherwise(0)).alias("k"), F.sum(times * F.log10((c + 1) / F.lit(float(total)))).alias("b"), F.sum(times * own).alias("s"))
-    joined = first.where("kind = 0").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score").join(scored, F.col("row") == F.col("__row"), "left").join(more, F.col("row") == F.col("__rare"), "left")
-    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    return joined.select("doc_id", "held_out", "n_tokens", plus("n_known", "k").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base_score", "b"), (F.col("pairs") + F.coalesce("s", F.lit(0.0))).alias("score"))
+    rare_mass = math.log10(max(1e-300, 1.0 - sum(r["mass"] for r in told)))
+    customers, base = _beginnings(known, pairs, least, rare, texts)
+    words = _scan(source, blocks)
+    release(spark)
+    first = _paired(words, _named(words, known, least), pairs, float(model.tokens + model.kinds + 1), model.log_unknown, rare_mass)
+    forget(words, known)
+    release(spark)
+    ranges = _ranges(first, pairs)
+    release(spark)
+    m, samples = fit_pairs(ranges, pairs, customers, base, seed)
+    release(spark)
+    return _scores(first, _answers(ranges, m, samples, seed), model.tokens)
