@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -61,8 +62,10 @@ def forget(*written: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished plans now, and not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # a second time, for what the first one lets go
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def as_bytes(name: str = "text") -> Column:

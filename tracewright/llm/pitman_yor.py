@@ -870,7 +870,7 @@ def _answers(ranges: DataFrame, m: PairModel, samples: list, seed: int) -> DataF
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(scan: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:
+def _scores(batches: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:
     """RESULT: each document with the sum of log10 probabilities of its pairs."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -883,7 +883,7 @@ def _scores(scan: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:
         sums = np.add.reduceat(log[place], np.cumsum(lengths) - lengths) + more.to_numpy()
         return pa.Table.from_batches([batch_of(schema, [ids, unpacked(out, docs, 1).astype(np.bool_), lengths, known, np.full(docs, tokens), base, sums])])
 
-    return scan.where("part < 0").drop("part", "sum_n", "gaps", "sums").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, RESULT)
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, RESULT)
 
 
 def score(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
@@ -908,7 +908,11 @@ def score(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     forget(words, known)
     release(spark)
     ranges = _ranges(first, pairs)
+    batches = materialize(first.where("part < 0").select("batch", "docs", "n", "one", "two", "out", "ids", "known", "base", "more"), "batches")
+    forget(first)
     release(spark)
     m, samples = fit_pairs(ranges, pairs, customers, base, seed)
     release(spark)
-    return _scores(first, _answers(ranges, m, samples, seed), model.tokens)
+    answers = materialize(_answers(ranges, m, samples, seed), "answers")
+    release(spark)
+    return _scores(batches, answers, model.tokens)
