@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import Memo, apply_copies, as_bytes, batch_of, give_back, held, kept, key_filter, lean, materialize, row_key, small
+from .common import Memo, apply_copies, as_bytes, batch_of, forget, give_back, held, kept, key_filter, lean, materialize, release, row_key, small
 from .components import components
 
 SIZE, PERCENT = 3, 90
@@ -42,6 +42,10 @@ BLOCK_TOKENS, LEAST = 150_000, 150
 BROADCAST_KEYS = 4_000_000
 #: Sets to compare that are told to all tasks at once (33 bytes each); with more, they are taken from the texts in several passes, dealt by their key.
 MEMBERS = 2_000_000
+#: Parts that are counted at a time, up to PASSES times; a pass shuffles its share of them, and that shuffle is deleted before the next.
+PARTS, PASSES = 5_000_000, 4
+#: Tokens that meet at a time in large neighbourhoods, or as many as these hold themselves if that is more; blocks meet in passes, and what a pass shuffles is deleted before the next.
+MEETING_TOKENS = 20_000_000
 #: Bits of a part's hash that are kept, the upper ones: parts that agree by chance only bring strangers together.
 _PART_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 HUBS = 4
@@ -296,6 +300,19 @@ def _listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return materialize(source.mapInArrow(lean(run), "doc_id long, key long, row_key long, row long, n_shingles long, set_key binary, signatures array<long>"), "listed")
 
 
+def _shared_parts(own: DataFrame, passes: int) -> DataFrame:
+    """s, first, last, m: the signatures that m rows of own (row, signatures) have, more than one, with the first and the last of those rows."""
+    out = None
+    for p in range(passes):
+        # The lower bits are cut off, and the upper ones deal out the shuffle.
+        parts = own.select("row", F.explode("signatures").alias("s")).where(F.pmod(F.shiftright("s", 16), F.lit(passes)) == p)
+        shared = materialize(parts.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("m")).where("m > 1"), "shared-parts")
+        if passes > 1:
+            release(own.sparkSession)
+        out = shared if out is None else out.union(shared)
+    return out
+
+
 def _held_parts(listed: DataFrame, several: DataFrame, n: int) -> DataFrame:
     """row, s: the signatures in listed (row, signatures) that are in several (n rows, __s), and one in a hundred others."""
     table = listed.sparkSession.sparkContext.broadcast(key_filter(several.select("__s"), n))
@@ -412,8 +429,14 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
     columns = ["row", "place", "tokens", "label", "query", "block", "chunk"]
     queries = rest.join(small(asked), "place").withColumn("query", F.lit(True)).withColumn("chunk", F.pmod(F.xxhash64("row"), cut)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     members = labelled.join(small(asked), "place").withColumn("query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("row"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
-    crossed = materialize(_meetings(queries.select(columns).union(members.select(columns)), percent).distinct(), "crossed")
-    return components(edges.union(crossed), "large-final")
+    met, least = whole.join(asked, "place").agg(F.sum(blocks * F.col("asked") + cut * F.col("all")), F.sum("all")).first()
+    passes = -(-met // max(least, MEETING_TOKENS)) if met else 1
+    for p in range(passes):
+        if passes > 1:
+            release(sets.sparkSession)
+        own = F.pmod("block", F.lit(passes)) == p
+        edges = edges.union(materialize(_meetings(queries.where(own).select(columns).union(members.where(own).select(columns)), percent).distinct(), "crossed"))
+    return components(edges, "large-final")
 
 
 def similar_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -427,24 +450,34 @@ def similar_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
     spare = materialize(listed.select("row", "set_key").join(repeated, F.col("set_key") == F.col("__set")).where("row != rep").select(F.col("row").alias("__row")), "spare")
     own = listed.join(small(spare), F.col("row") == F.col("__row"), "left_anti").select("row", "signatures")
     parts = own.select("row", F.explode("signatures").alias("s"))
-    shared = materialize(parts.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("m")).where("m > 1"), "shared-parts")
+    passes = max(1, min(PASSES, -(-(listed.agg(F.sum(F.size("signatures"))).first()[0] or 0) // PARTS)))
+    shared = _shared_parts(own, passes)
     several = shared.where("m > 2").select(F.col("s").alias("__s"), "first")
     n = several.count()
     # Beyond what is broadcast, only parts that several are likely to share are shuffled once more.
     several, parts = (F.broadcast(several), parts) if n <= C.BROADCAST_ROWS else (several, _held_parts(own, several, n))
     near = shared.where("m = 2").select(F.col("first").alias("v"), F.col("last").alias("u")).union(parts.join(several, F.col("s") == F.col("__s")).select(F.col("first").alias("v"), F.col("row").alias("u")))
     around = components(near, "neighbours")
+    # From here on nothing reads signatures.
+    signed, listed = listed, materialize(listed.drop("signatures"), "rows")
+    forget(signed, spare, shared)
+    if passes > 1:
+        release(docs.sparkSession)
     places = around.select(F.col("v").alias("row"), F.col("root").alias("place")).union(around.select(F.col("root").alias("row"), F.col("root").alias("place")).distinct())
     members = materialize(places.join(listed.select("row", "key", F.greatest("n_shingles", F.lit(LEAST)).alias("n")), "row"), "members")
     weight = members.groupBy("place").agg(F.sum("n").alias("all"))
     weighed = materialize(members.join(weight, "place").withColumn("large", F.col("all") > BLOCK_TOKENS).drop("all"), "weighed")
     sets = materialize(_token_sets(docs, weighed, size), "sets")
+    forget(members, weighed)
     found = materialize(_joined_blocks(sets.where("not large").select("row", "place", F.lit(0).alias("block"), "tokens"), percent).select(F.col("u").alias("v"), F.col("v").alias("root")), "links")
     large = sets.where("large").drop("large")
     if not large.isEmpty():
         found = found.union(_large(large, percent))
     ids = classes.join(found, F.col("rep") == F.col("v"), "left").withColumn("root", F.coalesce("root", "rep"))
     linked = materialize(ids.select("set_key", "least", "copies", "root"), "linked")
+    forget(sets, classes)
+    if passes > 1:
+        release(docs.sparkSession)
     by_root = linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("m"), F.max("copies").alias("c")).where("m > 1 or c > 1")
     of_class = linked.join(by_root.select("root", "component"), "root").select(F.col("set_key").alias("__set"), "component")
     out = listed.select("doc_id", "row_key", "row", "n_shingles", "set_key").join(of_class, F.col("set_key") == F.col("__set"), "left")
